@@ -18,7 +18,7 @@ def component_labels(links: DataFrame) -> DataFrame:
     component. Tables between rounds are written to the shared folder.
     """
     ends, labelled, pointers = Rounds(), Rounds(), Rounds()
-    live = links.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    live = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     live, n = ends.keep_counting(live, F.col("a") != F.col("b"))
     labels = live.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
     live = live.where("a <> b")
