@@ -7,11 +7,10 @@ cannot lower any, and the text is done. Long texts end after a step or two.
 Five slots make a band; 60 bands make it a chance of 1e-7 that two sets of similarity 0.75 share none (less, the more they
 share). What shares a band is only a candidate: links are confirmed on the full sets.
 
-The same sets are one node. In each band's bucket every member is first held against the bucket's least member. So a
-group of copies costs as many comparisons as it has members. Their components then tell which buckets still hold
-members of different components, and of these all pairs are compared, but for those that the triangle inequality of the Jaccard
-distance rules out by both members' similarity to the least one. Pairs within a component are never needed. Union of
-the links is by hooking and contraction over tables; no task or driver holds a component.
+The same sets are one node. In each band's bucket every member is held against a pivot, in rounds, so that a group of copies
+costs about as many comparisons as it has members. Their components tell which buckets still hold members of different
+ones; these texts are joined by the rarest parts of their sets, without loss. Pairs within a component are never needed. Union of the links is by hooking and contraction over
+tables; no task or driver holds a component.
 
 Rows: a null or empty text, or one of white space, has no shingles and is alone; a text of fewer words than a shingle is one
 shingle. Equal rows, also with equal ids, are copies of each other. Null ids are never a component's id. An empty table gives an
@@ -34,6 +33,8 @@ from loomgraph.runtime import written
 SHINGLE, BANDS, ROWS = 5, 60, 5
 SLOTS = BANDS * ROWS
 PERCENT = 75
+#: Pivot rounds end once all pairs of open members would be this many times their number at most.
+FEW = 4
 #: Shingles whose permutations are held at once: 2 * SLOTS bytes each.
 CHUNK = 40_000
 
@@ -167,21 +168,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    lead = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1").select("bucket", "lead")
-    members = written(member.join(lead, "bucket").select("bucket", "node", "lead"), "members")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(member.join(shared, "bucket").select("bucket", "node", "size"), "shared")
+    known = shared.groupBy("node").agg(F.sum(F.col("size") - 1).alias("met")).join(nodes.select("node", "n"), "node")
+    members = written(shared.join(known, "node").select("bucket", "node", "met", "n"), "members")
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.id", F.col("row.key").alias("key"))
+    wanted = nodes.join(known.select("node"), "node", "left_semi").select("node", "row.id", F.col("row.key").alias("key"))
     texts = wanted.join(rows.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "text"), F.col("key").eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     sets = written(texts.select("node", "text").mapInPandas(_shingled, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    stars = members.where("node <> lead").select(F.col("node").alias("b"), F.col("lead").alias("a")).distinct()
-    compared = written(_compared(stars, sets), "compared")
-    links = compared.where(_linked()).select("a", "b")
-    labels = component_labels(links)
-
-    rest = written(_compared(_open_pairs(members, nodes, compared, labels), sets).where(_linked()).select("a", "b"), "links")
-    if not rest.isEmpty():
-        labels = component_labels(links.unionByName(rest))
+    labels = _grouped(members, sets)
 
     owned = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
     first = owned.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -191,22 +186,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: pairs that share a bucket, may be similar enough, and lie in different components so far.
-
-    In a bucket with least member z, similarities to z that differ by more than 1 - PERCENT / 100 rule a
-    pair out, and so do sizes that differ by more than that part.
-    """
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their labels so far, of the buckets that hold more than one component."""
     of = labels.select(F.col("id").alias("node"), "label")
-    placed = members.join(of, "node", "left").select("bucket", "node", "lead", F.coalesce("label", "node").alias("label"))
+    placed = members.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi").where("node <> lead")
-    near = compared.select(F.col("b").alias("node"), F.col("a").alias("lead"), (F.col("common") / F.col("total")).alias("near"))
-    placed = placed.join(near, ["node", "lead"]).join(nodes.select("node", "n"), "node")
-    placed = written(placed.select("bucket", "node", "label", "near", "n"), "placed")
-    one = placed.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("near").alias("xa"), F.col("n").alias("na"))
-    two = placed.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("near").alias("xb"), F.col("n").alias("nb"))
-    slack = 1 - PERCENT / 100 + 1e-9
-    sizes = (100 * F.least("na", "nb")) >= PERCENT * F.greatest("na", "nb")
-    pairs = one.join(two, "bucket").where((F.col("la") < F.col("lb")) & sizes & (F.abs(F.col("xa") - F.col("xb")) <= slack))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return (100 * F.least(a, b)) >= PERCENT * F.greatest(a, b)
+
+
+def _grouped(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, label of the linked nodes of ``members(bucket, node, met, n)``; met: how many others a node meets in its buckets.
+
+    A round holds each bucket's members against one pivot, the one that meets most others: the text that copies were made
+    from, as a rule, if it is there. Rounds end once one finds no link, or few pairs are open. What is open then is joined exactly.
+    """
+    open_members = members.withColumn("label", F.col("node"))
+    spent: DataFrame | None = None
+    links: DataFrame | None = None
+    labels = members.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
+    while True:
+        free = open_members if spent is None else open_members.join(spent, ["bucket", "node"], "left_anti")
+        pivot = free.groupBy("bucket").agg(F.max(F.struct("met", F.negative("node").alias("least"), "node", "n", "label")).alias("p"))
+        pivot = written(pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "pivots")
+        asked = open_members.join(pivot, "bucket").where((F.col("label") != F.col("pl")) & _sizes_fit("n", "pn"))
+        compared = _compared(asked.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets)
+        found = written(compared.where(_linked()).select("a", "b"), "links")
+        used = pivot.select("bucket", F.col("pivot").alias("node"))
+        spent = used if spent is None else spent.unionByName(used)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = component_labels(links)
+        open_members = _mixed(members, labels)
+        sizes = open_members.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
+        if not sizes.rows or sizes.pairs <= FEW * sizes.rows:
+            break
+    nodes = written(open_members.select("node", "label", "n").distinct(), "open")
+    rest = written(_compared(_prefix_pairs(nodes, sets), sets).where(_linked()).select("a", "b"), "links")
+    if rest.isEmpty():
+        return labels
+    return component_labels(rest if links is None else links.unionByName(rest))
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: pairs of ``nodes(node, label, n)`` with different labels that may be similar enough; none is missed.
+
+    Each set's shingles are ordered from rare to common. Similar sets share one of the first n - 0.75 n + 1, so only these are joined, under
+    the bounds that sizes and places put on what is shared. A passage that many texts have is common, so it comes last and
+    pairs nobody.
+    """
+    held = sets.join(nodes, "node")
+    counts = held.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("texts"))
+    each = held.select("node", "label", "n", F.explode("shingles").alias("shingle")).join(counts, "shingle")
+    ordered = each.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("all"))
+    prefix = F.expr(f"slice(all, 1, cast(n - ceil({PERCENT} * n / 100) + 1 as int))")
+    first = ordered.select("node", "label", "n", F.posexplode(prefix).alias("place", "s")).where("s.texts > 1")
+    first = written(first.select(F.col("s.shingle").alias("shingle"), "node", "label", "n", (F.col("n") - F.col("place")).alias("left")), "prefixes")
+    one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", "left")]) for k in "ab")
+    enough = (100 + PERCENT) * F.least("left_a", "left_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    pairs = one.join(two, "shingle").where((F.col("label_a") < F.col("label_b")) & _sizes_fit("n_a", "n_b") & enough)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()

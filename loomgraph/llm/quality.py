@@ -28,6 +28,8 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 GOOD, ABSTAIN, BAD = 1, 0, -1
 #: Fewer words, or a larger part of repeated ones, fail a text outright.
 MIN_WORDS, MAX_REPEATED = 10, 20
+#: The rules' bounds are set so that at most this part of good documents draws a rule's bad vote.
+WRONG = 0.002
 #: Pseudo-documents behind the starting rates, and EM's end.
 WEIGHT, ROUNDS, CLOSE = 50.0, 200, 1e-9
 
@@ -152,7 +154,7 @@ def expectation_maximisation(votes: np.ndarray, n: np.ndarray) -> QualityModel:
         ups, downs = weights @ (votes == GOOD), weights @ (votes == BAD)
         seen = (ups + downs + WEIGHT)[:, :, None]
         model.rates = (np.stack([ups, downs], axis=2) + WEIGHT * belief) / seen
-        model.rates[1, :, 1] = np.minimum(model.rates[1, :, 1], 0.05)  # a good document seldom draws a bad vote
+        model.rates[1, :, 1] = np.minimum(model.rates[1, :, 1], WRONG)
         model.rates[1, :, 0] = 1 - model.rates[1, :, 1]
         model.prior = float(np.clip((weights[1].sum() + WEIGHT * 0.85) / (n.sum() + WEIGHT), 0.5, 0.99))
         if abs(model.prior - before) < CLOSE:
