@@ -26,6 +26,19 @@ SPACE = "▁"
 PARTS, PAIRS = 1_000_000, 400_000
 
 
+def spelt(raw: bytes | bytearray) -> str:
+    """UTF-8, with U+FFFD for each single byte that starts no character."""
+    out, at = [], 0
+    while at < len(raw):
+        try:
+            out.append(raw[at:].decode())
+            break
+        except UnicodeDecodeError as e:
+            out += [raw[at : at + e.start].decode(), "\ufffd"]
+            at += e.start + 1
+    return "".join(out)
+
+
 class PieceCodec:
     def __init__(self, path: str):
         import ahocorasick
@@ -132,10 +145,10 @@ class PieceCodec:
                 raw.append(self.value[i])
                 continue
             if raw:
-                out.append(raw.decode(errors="replace"))
+                out.append(spelt(raw))
                 raw = bytearray()
             out.append(self.piece[i].replace(SPACE, " "))
-        return "".join(out) + raw.decode(errors="replace")
+        return "".join(out) + spelt(raw)
 
     def parts(self, text: str) -> list[str]:
         """Ids of a text, as comma-joined strings of its parts; a space is put before the text."""
