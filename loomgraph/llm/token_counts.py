@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from loomgraph.llm.common import Memo, named
-from loomgraph.runtime import scratch
+from loomgraph.runtime import scratch, written
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 #: Words that a worker remembers.
@@ -148,4 +148,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     texts = texts.where(F.unhex(F.sha2(F.concat(version, F.lit(":"), F.col("text")), 256)) == F.col("digest")).select("digest", "text")
     texts.mapInPandas(_encoded(tokenizer), CACHE_SCHEMA).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = written(stored, "counts")  # a plain table: only then may the engine split a hot digest's rows
     return keys.join(stored, "digest").select("id", "n_bytes", "n_tokens")
