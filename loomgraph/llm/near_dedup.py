@@ -158,7 +158,8 @@ def _linked() -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id reachable), kept (that is the row's own id) per row.
 
-    Shuffles texts once, for candidates; everything else that moves is ids and hashes.
+    Shuffles texts once, for candidates; everything else that moves is ids and hashes. Grouped tables are written before they
+    are joined, so that both sides of each join are plain and the engine may split a hot key.
     """
     rows = named(docs, id=id_col, text=text_col).select("id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
     kind = rows.schema["id"].dataType.simpleString()
@@ -168,8 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(member.join(shared, "bucket").select("bucket", "node", "size"), "shared")
+    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = written(member.join(sizes, "bucket").select("bucket", "node", "size"), "shared")
     known = shared.groupBy("node").agg(F.sum(F.col("size") - 1).alias("met")).join(nodes.select("node", "n"), "node")
     members = written(shared.join(known, "node").select("bucket", "node", "met", "n"), "members")
 
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _grouped(members, sets)
 
     owned = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
-    first = owned.groupBy("label").agg(F.min("least").alias("component_id"))
+    first = written(owned.groupBy("label").agg(F.min("least").alias("component_id")), "first")
     found = owned.join(first, "label").select(F.col("digest").alias("_digest"), "component_id")
     out = table.join(found, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
     component = F.coalesce("component_id", "id")
@@ -191,6 +192,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     of = labels.select(F.col("id").alias("node"), "label")
     placed = members.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = written(mixed, "mixed-buckets")
     return written(placed.join(mixed, "bucket", "left_semi"), "mixed")
 
 
