@@ -230,6 +230,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     asked = revisits.select("refers_to", "payload_digest").distinct()
     known = responses.select("page_id", "payload_digest", "payload_bytes", "payload").join(asked, (F.col("page_id") == asked["refers_to"]) & (responses["payload_digest"] == asked["payload_digest"]), "left_semi")
     known = known.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload").alias("payload"))
+    known = written(known, "referred")  # a plain table: the engine may split the revisits of one response
     back = revisits.drop("payload_bytes", "payload").join(known, ["refers_to", "payload_digest"], "left")
     out = responses.unionByName(back.select(*names)).drop("record")
     return out if payloads else out.drop("payload")
