@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Memo, named
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 PREFIXES = (3, 4, 5, 6)
 #: A feature must occur in 3 toxic training texts and this part of them, and so many times as often as in clean ones.
 LEAST, RATIO = 0.002, 8.0
@@ -75,27 +75,38 @@ class ToxicityModel:
         return float(1 - clean)
 
 
-def _screened(texts: list[set[str]], labels: np.ndarray) -> list[str]:
+def _in_sentences(text: str, of: Memo) -> Iterator[set[str]]:
+    for s in SENTENCE.split(text or ""):
+        if words := s.split():
+            yield set().union(*of.many(words))
+
+
+def _screened(texts: list[str], y: np.ndarray, of: Memo) -> list[str]:
+    """Counts toxic texts first, and of clean ones only what those have often enough, one text at a time."""
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     toxic, clean = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update(t)
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+    for t, positive in zip(texts, y, strict=True):
+        if positive:
+            toxic.update(set().union(*_in_sentences(t, of)))
+    toxic = {f: n for f, n in toxic.items() if n >= max(3, LEAST * n1)}
+    for t, positive in zip(texts, y, strict=True):
+        if not positive:
+            clean.update(toxic.keys() & set().union(*_in_sentences(t, of)))
     rate = lambda f: (toxic[f] / n1) / ((clean[f] + 0.5) / n0)
-    found = [f for f, n in toxic.items() if n >= max(3, LEAST * n1) and rate(f) >= RATIO]
+    found = [f for f in toxic if rate(f) >= RATIO]
     return sorted(sorted(found, key=lambda f: (-rate(f), f))[:MAX_FEATURES])
 
 
 def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, dtype="float64")
-    of = Memo(lambda w: tuple(features(w)), 300_000)
-    split = [[set().union(*of.many(w)) for s in SENTENCE.split(t or "") if (w := s.split())] for t in texts]
-    names = _screened([set().union(*s) if s else set() for s in split], y)
+    of = Memo(lambda w: tuple(features(w)), 40_000)
+    names = _screened(texts, y, of)
     if not names:
         return ToxicityModel()
     at = {f: i for i, f in enumerate(names)}
     rows, cols, bag, plain = [], [], [], np.zeros(len(y))
-    for d, sentences in enumerate(split):
-        for s in sentences:
+    for d, text in enumerate(texts):
+        for s in _in_sentences(text, of):
             known = [at[f] for f in s if f in at]
             if known:
                 rows += [len(bag)] * len(known)
