@@ -204,14 +204,18 @@ def _calibrate(model: LanguageModel, data: list[tuple[str, int]]) -> None:
         model.threshold = float(min(0.5, right[int(LOST * len(right))]))
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_ROWS, max_chars: int = 20_000) -> LanguageModel:
-    """Trains on at most ``sample`` labelled rows, those with the least hashes of their text, cut to ``max_chars`` each.
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_ROWS, max_chars: int = 20_000) -> LanguageModel:
+    """Trains on about ``sample`` labelled rows, and no more, cut to ``max_chars`` each.
 
-    The two bounds keep what reaches the driver below sample * max_chars characters at any input size.
+    A row is drawn if a hash of its id and text lies below the part that ``sample`` is of all labelled rows, so tasks send
+    drawn rows only: what reaches the driver stays below twice sample * max_chars characters at any input size.
     """
-    labelled = named(rows, text=text_col, label=label_col).where("label IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    best = labelled.select("label", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "label").limit(sample).collect()
-    return train([r.text for r in best], [r.label for r in best])
+    labelled = named(rows, text=text_col, label=label_col, id=id_col).where("label IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    part = min(1.0, sample / max(1, labelled.count()))
+    hashed = labelled.select("label", F.substring("text", 1, max_chars).alias("text"), F.xxhash64("id", "text").alias("h"))
+    drawn = hashed.where(F.col("h") <= min(2**63 - 1, int(part * 2**64) - 2**63)).limit(2 * sample).collect()
+    drawn.sort(key=lambda r: (r.h, r.label))
+    return train([r.text for r in drawn[:sample]], [r.label for r in drawn[:sample]])
 
 
 def predictor(spark, model: LanguageModel):
