@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -54,6 +55,21 @@ class Memo:
         return out
 
 
+_HELD: dict = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for the worker's later tasks until another key is asked for.
+
+    Workers outlive an operator, so each holds the tables and memos of one at a time. Running tasks keep their own.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of the frame has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import named
+from loomgraph.llm.common import held, named
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 3_000
@@ -232,16 +232,9 @@ def predictor(spark, model: LanguageModel):
     return predict
 
 
-_KEPT: dict[int, WordRows] = {}
-
-
 def _rows_of(model: LanguageModel) -> WordRows:
-    """The worker's memo for this model; one model at a time."""
-    key = zlib.crc32(model.table.tobytes()) ^ model.table.size
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordRows(model)
-    return _KEPT[key]
+    """The worker's memo for this model."""
+    return held(("language", zlib.crc32(model.table.tobytes()), model.table.shape), lambda: WordRows(model))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

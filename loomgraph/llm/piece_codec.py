@@ -14,16 +14,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import Memo, named
+from loomgraph.llm.common import Memo, held, named
 
 SPACE = "▁"
 #: Parts of texts, and pairs of pieces, that a worker remembers.
-PARTS, PAIRS = 1_000_000, 400_000
+PARTS, PAIRS = 400_000, 300_000
 
 
 def spelt(raw: bytes | bytearray) -> str:
@@ -196,9 +195,8 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return held(("codec", path), lambda: PieceCodec(path))
 
 
 def _each(path: str, full: bool):

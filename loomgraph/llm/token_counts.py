@@ -13,14 +13,13 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from loomgraph.llm.common import Memo, named
+from loomgraph.llm.common import Memo, held, named
 from loomgraph.runtime import scratch, written
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -97,9 +96,8 @@ class _Pieces:
         return total + self.memo[" " * spaces + parts[-1]]
 
 
-@lru_cache(2)
 def _counter(path: str) -> _Library | _Pieces:
-    return _Pieces(path) if path.endswith(".model") else _Library(path)
+    return held(("counter", path), lambda: _Pieces(path) if path.endswith(".model") else _Library(path))
 
 
 def tokenizer_version(path: str) -> str:

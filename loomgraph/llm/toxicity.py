@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Memo, named
+from loomgraph.llm.common import Memo, held, named
 
 SAMPLE_ROWS = 4_000
 PREFIXES = (3, 4, 5, 6)
@@ -155,15 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, id_col: s
     return train([r.text or "" for r in found], [r.toxic for r in found])
 
 
-_KEPT: dict[int, Memo] = {}
-
-
 def _hits_of(model: ToxicityModel) -> Memo:
-    key = hash(tuple(sorted(model.weights.items())))
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = model.hits()
-    return _KEPT[key]
+    return held(("toxicity", hash(tuple(sorted(model.weights.items())))), model.hits)
 
 
 def scorer(spark, model: ToxicityModel):

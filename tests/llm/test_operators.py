@@ -470,3 +470,12 @@ def test_fold_is_crc32_of_the_text(spark):
 
     rows = spark.range(50).select("id", crc_fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_a_worker_holds_one_operators_tables_at_a_time():
+    from loomgraph.llm.common import held
+
+    first = held("a", list)
+    assert held("a", list) is first
+    held("b", dict)
+    assert held("a", list) is not first
