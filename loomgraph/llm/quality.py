@@ -2,7 +2,9 @@
 
 Each rule looks at one measure of a text and votes good, bad, or not at all. Expectation-maximisation over all documents
 estimates, per rule, how often good and bad documents draw each vote, and how common good ones are. A document's
-posterior probability of being good, not the number of rules it fails, decides.
+posterior probability of being good, not the number of rules it fails, decides. The error rates of good documents are estimated
+too, so a lone bad vote, which source code, tables or headings may draw, is a rule's error unless other rules join it. For that
+the usual defects are each seen by more than one rule; what one rule alone sees is kept.
 
 Only the number of documents by vote pattern reaches the driver: at most 3 to the number of rules, whatever the input.
 
@@ -28,8 +30,8 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 GOOD, ABSTAIN, BAD = 1, 0, -1
 #: Fewer words, or a larger part of repeated ones, fail a text outright.
 MIN_WORDS, MAX_REPEATED = 10, 20
-#: The rules' bounds are set so that at most this part of good documents draws a rule's bad vote.
-WRONG = 0.002
+#: ASCII characters that are neither letters, digits nor spaces.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Pseudo-documents behind the starting rates, and EM's end.
 WEIGHT, ROUNDS, CLOSE = 50.0, 200, 1e-9
 
@@ -74,13 +76,15 @@ def measures(text: str | None) -> tuple[int, ...]:
     distinct = set(words)
     bare = {w for w in distinct if len(w) < 4 and not any(c.isalnum() for c in w.decode())}
     n_bare = sum(map(bare.__contains__, words)) if bare else 0
-    dup_lines = len(lines) - len(set(lines))
-    return len(words), len(text or "") - among(SPACES), among(SYMBOLS), dup_lines, repeated_words(words), among(UPPER), among(LOWER), n_bare, len(distinct)
+    dup_lines, n_symbols = len(lines) - len(set(lines)), among(SYMBOLS)
+    held = {w for w in distinct if len(w.translate(None, SYMBOLS)) < len(w)} if n_symbols else set()
+    n_held = sum(map(held.__contains__, words)) if held else 0
+    return len(words), len(text or "") - among(SPACES), n_symbols, dup_lines, repeated_words(words), among(UPPER), among(LOWER), n_bare, len(distinct), n_held, among(MARKS)
 
 
 #: Words, code points in words, symbols, lines equal to an earlier one, words in repeated windows, ASCII letters
-#: of either case, short words without letter or digit, distinct words.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_distinct")
+#: of either case, short words without letter or digit, distinct words, words that hold a symbol, ASCII marks.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_distinct", "n_symbol_words", "n_marks")
 
 
 def _measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +124,8 @@ def rules() -> list[Rule]:
         Rule("bare_words", per_word("n_bare"), 0.05, 0.15, some),
         Rule("few_kinds", 1 - per_word("n_distinct"), 0.7, 0.9, (n >= 50) & (n < 2000)),
         Rule("long_words", F.col("word_chars") / F.greatest(n, F.lit(1)), 10.0, 15.0, some),
+        Rule("symbol_words", per_word("n_symbol_words"), 0.1, 0.3, some),
+        Rule("marks", F.col("n_marks") / F.greatest(F.col("word_chars"), F.lit(1)), 0.1, 0.2, some),
     ]
 
 
@@ -140,8 +146,8 @@ class QualityModel:
 def expectation_maximisation(votes: np.ndarray, n: np.ndarray) -> QualityModel:
     """``votes``: patterns by rules; ``n``: how many documents have each.
 
-    Starts from rules that are seldom wrong on good documents, and keeps those beliefs as pseudo-documents. So the classes can't
-    swap, and a kind of junk that one rule alone knows still counts as bad.
+    Starts from rules that are seldom wrong on good documents, and keeps those beliefs as pseudo-documents (a Dirichlet prior), so
+    the classes don't swap. The documents outweigh it: all rates, those of good documents included, are estimated.
     """
     rules_n = votes.shape[1]
     belief = np.array([[[0.55, 0.45]] * rules_n, [[0.99, 0.01]] * rules_n])
@@ -154,8 +160,6 @@ def expectation_maximisation(votes: np.ndarray, n: np.ndarray) -> QualityModel:
         ups, downs = weights @ (votes == GOOD), weights @ (votes == BAD)
         seen = (ups + downs + WEIGHT)[:, :, None]
         model.rates = (np.stack([ups, downs], axis=2) + WEIGHT * belief) / seen
-        model.rates[1, :, 1] = np.minimum(model.rates[1, :, 1], WRONG)
-        model.rates[1, :, 0] = 1 - model.rates[1, :, 1]
         model.prior = float(np.clip((weights[1].sum() + WEIGHT * 0.85) / (n.sum() + WEIGHT), 0.5, 0.99))
         if abs(model.prior - before) < CLOSE:
             break

@@ -383,6 +383,32 @@ def test_quality_verdicts(spark):
     assert out.where("id = 230").first().base_failed
 
 
+def test_a_lone_bad_vote_does_not_decide(spark):
+    """Headings and compounds draw one rule's bad vote; junk draws several. Verdicts are not those of an all-must-pass filter."""
+    rnd = random.Random(8)
+    word = lambda n=4: "".join(rnd.choice(["ka", "to", "mi", "ru", "sel", "por"]) for _ in range(rnd.randint(1, n)))
+    text = lambda make: " ".join(make() for _ in range(80))
+    good = [text(word) for _ in range(400)]
+    headings, compounds = [text(lambda: word().upper()) for _ in range(50)], [text(lambda: "kator" * 4 + word()) for _ in range(15)]
+    junk = [text(lambda: word() + "***") for _ in range(25)] + [" ".join(f"{word()} |" for _ in range(80)) for _ in range(25)]
+    by = quality.rules()
+    table = quality.measured(docs(spark, headings + compounds))
+    votes = table.select(*[r.vote().alias(r.name) for r in by]).distinct().collect()
+    assert {sum(v == quality.BAD for v in r) for r in votes} == {1}
+    kept = [r.kept for r in quality.judge_quality(docs(spark, good + headings + compounds + junk)).orderBy("id").collect()]
+    assert all(kept[:465]) and not any(kept[465:])
+
+
+def test_rates_of_good_documents_are_estimated():
+    patterns = np.array([[1] * 8, [-1, 1, 1, 1, 1, 1, -1, -1], [0, 1, 1, -1, 1, 1, -1, 0]])
+    for lone in range(8):
+        for n in (300, 1000):
+            votes = np.vstack([patterns, np.where(np.arange(8) == lone, -1, 1)])
+            model = quality.expectation_maximisation(votes, np.array([8000.0, 330, 320, n]))
+            good = model.log_odds(votes) > 0
+            assert good.tolist() == [True, False, False, True] and model.rates[1, lone, 1] > 0.01
+
+
 # op9
 
 
