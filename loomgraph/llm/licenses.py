@@ -74,6 +74,7 @@ SPELLINGS = [
 ]
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|all rights reserved|©|\(c\))[^\n]*$"
 NOT_WORD = r"[^a-z0-9]+"
+#: The SQL's screen of lines, on the raw text. It misses spellings that only become a known form ("Released under ..."), so the scan has none.
 NOTICE_WORD = r"(?i)licen[sc]e|public domain"
 
 
@@ -99,14 +100,13 @@ def known_licenses(spark) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license (of the whole text, else null), notices (licences of single lines, sorted and distinct, joined by commas), n_notice_lines per row.
 
-    Whole texts are hash-joined to the known digests; lines look theirs up in a map literal of the same fixed table, so nothing is shuffled. Only lines that
-    hold a word which every known line has get a canonical form.
+    Whole texts are hash-joined to the known digests; lines look theirs up in a map literal of the same fixed table, so nothing is shuffled. Every
+    line gets a canonical form, as any of its words may be a spelling of a known one.
     """
     rows = named(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     known = known_licenses(docs.sparkSession)
     listed = F.create_map(*[F.lit(x) for r in known.collect() for x in (r.digest, r.license)])
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOTICE_WORD))
-    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(listed, digest(x))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.try_element_at(listed, digest(x))), lambda x: x.isNotNull())
     found = rows.select("id", digest(F.col("text")).alias("digest"), hits.alias("hits"))
     joined = found.join(F.broadcast(known), "digest", "left")
     return joined.select("id", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))

@@ -315,6 +315,13 @@ def test_licences(spark):
     ]
 
 
+def test_notices_in_words_of_equivalent_spellings(spark):
+    lines = ["Released under CC BY 4.0.", "Released under CC BY-NC 4.0.", "Released under Creative Commons Attribution 4.0", "Released under the GNU GPL, version 3."]
+    out = got(licenses.scan_licenses(docs(spark, [*lines, "intro\n" + "\n".join(lines) + "\nend"])), "id", "license", "notices", "n_notice_lines")
+    names = ["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-4.0", "GPL-3.0"]
+    assert out == [*[(k, x, x, 1) for k, x in enumerate(names)], (4, None, "CC-BY-4.0,CC-BY-NC-4.0,GPL-3.0", 4)]
+
+
 # op7
 
 
