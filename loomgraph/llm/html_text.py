@@ -4,8 +4,9 @@ The pages of a host are merged by the paths of their elements. A path's content
 presentation importance if its child sequences do (entropies over the pages, to the base of their number). Their mean weighs a
 branch; low ones are the host's template and are cut from each page. A host must have shown a branch often enough for that.
 
-Elements whose name, role or class says what they are (menus, footers, forms, adverts, comments) are cut without counting. Where a page has an
-article or main element, the text comes from inside it, and there only such names cut: pages with copied articles would else lose them.
+Elements whose name or role says what they are (menus, footers, forms), or whose class or id has a word that says so (adverts, comments), or that
+are hidden, are cut without counting. Where articles or main elements have a good part of a page's text, the text comes from inside them. The tree cuts
+there too, unless what it would cut is most of that text: pages with copied articles would else lose them.
 
 Rows: a null or empty html gives the empty text; pages without a host share one tree. Broken markup is read as browsers do in the
 main: unclosed and crossed elements close with the ones around them, a cut-off tag is dropped. Rows repeat as given. An empty table gives an empty result.
@@ -27,6 +28,8 @@ from loomgraph.runtime import written
 
 #: A branch needs so many occurrences on a host, and an importance below this, to be cut.
 LEAST_SEEN, LOW = 8, 0.3
+#: Articles with a smaller part of a page's text are not its main text.
+MAIN_SHARE = 1 / 3
 #: The weight of presentation in the importance.
 PRESENTATION = 0.25
 
@@ -42,6 +45,8 @@ CUT_WORDS = frozenset(
     "recommended reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 MAIN = frozenset({"article", "main"})
+#: Parts of an article's class that make it a reader's comment, or a card that leads to another page.
+ASIDE = frozenset("comment comments disqus replies reply respond teaser card promo promoted related recommended sponsored".split())
 #: An element that starts closes these open ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An end tag does not reach beyond these.
@@ -49,19 +54,20 @@ SCOPES = {"li": {"ul", "ol"}, "p": {"td", "th", "table", "button"}, "dt": {"dl"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/]|$)")
+PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"[A-Z]?[a-z]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The class and id as part of a path, and whether the attributes tell of noise."""
+def _marks(attributes: str) -> tuple[str, frozenset[str], frozenset[str], bool]:
+    """The class and id as part of a path, the words of the class and of the id, and whether the element is noise by role or hidden."""
     if "=" not in attributes and "hidden" not in attributes:
-        return "", False
+        return "", frozenset(), frozenset(), False
     found = {m[5] or m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    name = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    words = {w.lower() for w in WORD.findall(name)} | set(name.lower().split())
+    kind, own = found.get("class", ""), found.get("id", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return name, hidden or bool(words & CUT_WORDS) or found.get("role", "").lower() in CUT_ROLES
+    words = lambda t: frozenset(w.lower() for w in WORD.findall(t)) | frozenset(t.lower().split())
+    return f"{kind} {own}".strip(), words(kind), words(own), hidden or found.get("role", "").lower() in CUT_ROLES
 
 
 class Walk:
@@ -69,29 +75,36 @@ class Walk:
 
     def __init__(self, page: str):
         self.page = page
-        #: path, noise, main, text; and, for elements outside main ones, path to child sequences
-        self.blocks: list[tuple[str, bool, bool, str]] = []
+        #: path, noise, main, numbers of the marked branches around it, text
+        self.found: list[tuple[str, bool, bool, tuple[int, ...], str]] = []
         self.styles: list[tuple[str, str]] = []
-        self.stack: list[list] = [["", "", False, False, []]]  # name, path, noise, main, names of children
+        self.stack: list[list] = [["", "", False, False, [], ()]]  # name, path, noise, main, names of children, marked branches
         self.text: list[str] = []
+        #: how many marked branches there are
+        self.marked = 0
         self._run()
 
+    @property
+    def blocks(self) -> list[tuple[str, bool, bool, str]]:
+        """path, noise, main, text."""
+        return [(path, noise or bool(marks), main, text) for path, noise, main, marks, text in self.found]
+
     def _flush(self) -> None:
         if self.text:
-            _, path, noise, main, _ = next(x for x in reversed(self.stack) if x[0] not in INLINE)
+            _, path, noise, main, _, marks = next(x for x in reversed(self.stack) if x[0] not in INLINE)
             raw = "".join(self.text)
             self.text = []
             clean = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if clean:
-                self.blocks.append((path, noise, main, clean))
+                self.found.append((path, noise, main, marks, clean))
 
     def _close(self, depth: int) -> None:
         """Takes elements off the stack down to ``depth``."""
         while len(self.stack) > depth:
             if self.stack[-1][0] not in INLINE:
                 self._flush()
-            _, path, _, main, children = self.stack.pop()
-            if not main and children:
+            _, path, _, _, children, _ = self.stack.pop()
+            if children:
                 self.styles.append((path, " ".join(children)))
 
     def _open(self, name: str, attributes: str) -> None:
@@ -106,7 +119,7 @@ class Walk:
                     break
                 if own not in INLINE and not (name == "tr" and own in ("td", "th")):
                     break
-        mark, noise = _marks(attributes) if attributes else ("", False)
+        mark, kinds, ids, noise = _marks(attributes) if attributes else ("", frozenset(), frozenset(), False)
         top = self.stack[-1]
         top[4].append(name)
         if name in VOID:
@@ -116,10 +129,20 @@ class Walk:
         path = f"{top[1]}>{name}.{mark}" if mark else f"{top[1]}>{name}"
         # a header inside an article holds its title
         cut = name in CUT and not (name == "header" and top[3])
-        inside = top[3] or (name in MAIN and not top[2])
+        whole = name in MAIN and not top[3]
         # a region that only names its role on the main element itself is not noise
-        bad = top[2] or cut or (noise and not (name in MAIN and not top[3]) and name != "body")
-        self.stack.append([name, path, bad, inside, []])
+        bad = top[2] or cut or (noise and not whole and name != "body")
+        if whole:
+            words = {p for w in kinds for p in PART.findall(w)} & ASIDE
+        else:
+            words = (kinds | ids) & CUT_WORDS
+        marks, inside = top[5], top[3]
+        if words and not bad and name != "body":
+            marks = (*marks, self.marked)
+            self.marked += 1
+        elif whole and not bad and not marks:
+            inside = True
+        self.stack.append([name, path, bad, inside, [], marks])
 
     def _end(self, name: str) -> None:
         limit = SCOPES.get(name, set())
@@ -167,10 +190,19 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> list[str]:
     """The blocks of the main text, in page order. ``low``: paths that the host's tree rates low."""
     if not page:
         return []
-    blocks = Walk(page).blocks
-    if any(main for _, _, main, _ in blocks):
-        return [t for _, noise, main, t in blocks if main and not noise]
-    return [t for path, noise, _, t in blocks if not noise and path not in low and branch(path) not in low]
+    chars = lambda found: sum(len(x[3]) for x in found)
+    blocks = [x for x in Walk(page).blocks if not x[1]]
+    main = [x for x in blocks if x[2]]
+    rest = [x for x in blocks if not x[2] and x[0] not in low and branch(x[0]) not in low]
+    if main and low:
+        own = [x for x in main if x[0] not in low or x[0].rpartition(">")[2].partition(".")[0] == "h1"]
+        # what carries most of an article is a copied one
+        if 2 * chars(own) > chars(main):
+            main = own
+    if main and chars(main) >= MAIN_SHARE * (chars(main) + chars(rest)):
+        return [x[3] for x in main]
+    kept = {id(x) for x in main + rest}
+    return [x[3] for x in blocks if id(x) in kept]
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,10 +213,9 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for host, page in zip(f["host"], f["html"], strict=True):
             walk = Walk(page or "")
-            for path, _, main, text in walk.blocks:
-                if not main:
-                    for p in {path, branch(path)}:
-                        seen[host, p, "text", h(text)] += 1
+            for path, _, main, _, text in walk.found:
+                for p in {path} if main else {path, branch(path)}:
+                    seen[host, p, "text", h(text)] += 1
             for path, children in walk.styles:
                 seen[host, path, "style", h(children)] += 1
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "path", "kind", "feature", "n"])

@@ -357,6 +357,27 @@ def test_articles_on_pages_like_the_test_tables():
         assert html_text.main_text(page(body)) == ["h", *([want] if want else [])]
 
 
+def test_the_tree_cuts_inside_articles_and_leaves_copies(spark):
+    rows = []
+    for k in range(20):
+        own = f'<div class="box"><p>Welcome to our site</p></div><div class="text"><p>story {k} {"x" * k} of the day</p><p>other words {k * 7}</p></div>'
+        rows += [(k, f"http://a.example/{k}", page(f"<main>{own}</main>")), (k + 50, f"http://b.example/{k}", page(f"<article>{own}</article>"))]
+        rows.append((k + 100, f"http://c.example/{k}", page("<article><h1>Same title</h1><p>A copied article with its own words</p></article>")))
+    out = {r.id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == out[53] == "story 3 xxx of the day\n\nother words 21"
+    assert {out[k + 100] for k in range(20)} == {"Same title\n\nA copied article with its own words"}
+
+
+def test_cards_and_comments_are_not_the_article():
+    body = "<div><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of a body in plain divs</p>" for k in range(5)) + "</div>"
+    want = ["Title", *(f"Paragraph {k} of a body in plain divs" for k in range(5))]
+    assert html_text.main_text(page(body + "<article class='teaser'><p>Read this too</p></article>")) == want
+    assert html_text.main_text(page(body + "<article><p>Read this too</p></article>")) == [*want, "Read this too"]
+    comments = "<article class='comment'><p>A reader says</p></article>" * 3
+    assert html_text.main_text(page(body + comments)) == want
+    assert html_text.main_text(page(f"<article>{body}</article>{comments}")) == want
+
+
 # op8
 
 
