@@ -4,8 +4,9 @@ The pages of a host are merged by the paths of their elements. A path's content
 presentation importance if its child sequences do (entropies over the pages, to the base of their number). Their mean weighs a
 branch; low ones are the host's template and are cut from each page. A host must have shown a branch often enough for that.
 
-Elements whose name or role says what they are (menus, footers, forms), or whose class or id has a word that says so (adverts, comments), or that
-are hidden, are cut without counting. Where articles or main elements have a good part of a page's text, the text comes from inside them. The tree cuts
+Elements whose name or role says what they are (menus, footers, forms), or that are hidden, are cut without counting. A whole word of a class or id
+that says so (adverts, comments) is evidence: its branch is cut unless that holds the page's article or most of its text, and parts of words only raise
+the importance below which the tree cuts. Where articles or main elements have a good part of a page's text, the text comes from inside them. The tree cuts
 there too, unless what it would cut is most of that text: pages with copied articles would else lose them.
 
 Rows: a null or empty html gives the empty text; pages without a host share one tree. Broken markup is read as browsers do in the
@@ -28,8 +29,12 @@ from loomgraph.runtime import written
 
 #: A branch needs so many occurrences on a host, and an importance below this, to be cut.
 LEAST_SEEN, LOW = 8, 0.3
+#: The same where a part of a class or id of the element or its parent tells of noise.
+SUSPECT = 0.6
 #: Articles with a smaller part of a page's text are not its main text.
 MAIN_SHARE = 1 / 3
+#: A marked branch that has most of a page's text stays beside an article if it has so many characters.
+LEAST_TEXT = 500
 #: The weight of presentation in the importance.
 PRESENTATION = 0.25
 
@@ -45,8 +50,10 @@ CUT_WORDS = frozenset(
     "recommended reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 MAIN = frozenset({"article", "main"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 #: Parts of an article's class that make it a reader's comment, or a card that leads to another page.
-ASIDE = frozenset("comment comments disqus replies reply respond teaser card promo promoted related recommended sponsored".split())
+COMMENT = frozenset("comment comments disqus replies reply respond".split())
+ASIDE = COMMENT | {"teaser", "card", "promo", "promoted", "related", "recommended", "sponsored"}
 #: An element that starts closes these open ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An end tag does not reach beyond these.
@@ -55,7 +62,7 @@ SCOPES = {"li": {"ul", "ol"}, "p": {"td", "th", "table", "button"}, "dt": {"dl"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/]|$)")
 PART = re.compile(r"[a-z]+")
-WORD = re.compile(r"[A-Z]?[a-z]+")
+SUSPICIOUS = rf"(?i)>[^>]*[^a-z>]({'|'.join(sorted(CUT_WORDS))})([^a-z>][^>]*)?(>[^>]*)?$"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
@@ -66,8 +73,7 @@ def _marks(attributes: str) -> tuple[str, frozenset[str], frozenset[str], bool]:
     found = {m[5] or m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     kind, own = found.get("class", ""), found.get("id", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    words = lambda t: frozenset(w.lower() for w in WORD.findall(t)) | frozenset(t.lower().split())
-    return f"{kind} {own}".strip(), words(kind), words(own), hidden or found.get("role", "").lower() in CUT_ROLES
+    return f"{kind} {own}".strip(), frozenset(kind.lower().split()), frozenset(own.lower().split()), hidden or found.get("role", "").lower() in CUT_ROLES
 
 
 class Walk:
@@ -80,14 +86,25 @@ class Walk:
         self.styles: list[tuple[str, str]] = []
         self.stack: list[list] = [["", "", False, False, [], ()]]  # name, path, noise, main, names of children, marked branches
         self.text: list[str] = []
-        #: how many marked branches there are
-        self.marked = 0
+        #: per marked branch, whether it is of comments, and the branches that hold an article; whether an article lies in none
+        self.comments: list[bool] = []
+        self.holding: set[int] = set()
+        self.free = False
         self._run()
 
     @property
     def blocks(self) -> list[tuple[str, bool, bool, str]]:
-        """path, noise, main, text."""
-        return [(path, noise or bool(marks), main, text) for path, noise, main, marks, text in self.found]
+        """path, noise, main, text. A marked branch is noise unless it holds the only articles, or most of the page's text."""
+        size = [0] * len(self.comments)
+        total = 0
+        for _, noise, _, marks, text in self.found:
+            if not noise:
+                total += len(text)
+                for k in marks:
+                    size[k] += len(text)
+        most = lambda k: 2 * size[k] > total and (not self.free or (size[k] >= LEAST_TEXT and not self.comments[k]))
+        cut = {k for k in range(len(size)) if not most(k) and (self.free or k not in self.holding)}
+        return [(path, noise or any(k in cut for k in marks), main, text) for path, noise, main, marks, text in self.found]
 
     def _flush(self) -> None:
         if self.text:
@@ -134,14 +151,18 @@ class Walk:
         bad = top[2] or cut or (noise and not whole and name != "body")
         if whole:
             words = {p for w in kinds for p in PART.findall(w)} & ASIDE
+        elif top[3]:
+            words = kinds & CUT_WORDS - {"header"}  # ids are anchors of sections there
         else:
             words = (kinds | ids) & CUT_WORDS
         marks, inside = top[5], top[3]
-        if words and not bad and name != "body":
-            marks = (*marks, self.marked)
-            self.marked += 1
-        elif whole and not bad and not marks:
+        if words and not bad and name != "body" and name not in HEADINGS:
+            marks = (*marks, len(self.comments))
+            self.comments.append(bool(words & COMMENT))
+        elif whole and not bad:
             inside = True
+            self.holding.update(marks)
+            self.free |= not marks
         self.stack.append([name, path, bad, inside, [], marks])
 
     def _end(self, name: str) -> None:
@@ -256,7 +277,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = named(pages, id=id_col, url=url_col, html=html_col)
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    low = style_tree(rows.select("host", "html")).where((F.col("seen") >= LEAST_SEEN) & (F.col("importance") < LOW))
+    low = style_tree(rows.select("host", "html")).where((F.col("seen") >= LEAST_SEEN) & (F.col("importance") < F.when(F.col("path").rlike(SUSPICIOUS), SUSPECT).otherwise(LOW)))
     lists = written(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-paths")
     kind = rows.schema["id"].dataType.simpleString()
     joined = rows.join(lists, "host", "left").select("id", "url", "html", "low")

@@ -378,6 +378,17 @@ def test_cards_and_comments_are_not_the_article():
     assert html_text.main_text(page(f"<article>{body}</article>{comments}")) == want
 
 
+def test_words_of_classes_are_evidence():
+    body = "<h1>Title</h1><p>One paragraph of the page</p><p>Another one</p>"
+    want = ["Title", "One paragraph of the page", "Another one"]
+    for mark in ("class='layout has-sidebar'", "class='content no-sidebar'", "class='sidebar'", "id='social'"):
+        for inner in (f"<article>{body}</article>", body):
+            assert html_text.main_text(page(f"<div {mark}>{inner}</div>")) == want, (mark, inner)
+    kept = "<section id='related-work'><h2 id='social-impact'>A</h2><p>b</p></section><div class='entry-header'>c</div><section id='copyright'><p>d</p></section>"
+    cut = "<div class='sidebar'>x</div><div class='comments'>" + "<p>a long comment of a reader</p>" * 40 + "</div>"
+    assert html_text.main_text(page(f"<article>{body}{kept}{cut}</article><div class='ad'>{'buy ' * 50}</div>")) == [*want, "A", "b", "c", "d"]
+
+
 # op8
 
 
