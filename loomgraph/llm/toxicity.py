@@ -5,8 +5,8 @@ prefixes of its words. A document's is one minus the product of its sentences' c
 document labels train it; afterwards the sentence scores locate what is toxic.
 
 Features are screened first: those that occur in clean documents nearly as often as in toxic ones are left out. The rest
-get weights by accelerated proximal gradient descent on the noisy-or likelihood, with a penalty that sets most to 0. The bias is held so low
-that a long clean text stays clean.
+get weights by accelerated proximal gradient descent on the noisy-or likelihood, with a penalty that sets most to 0. A sentence without a known
+feature has no chance of being toxic, so a clean text of any length stays clean.
 
 Rows: a null or empty text has no sentence and scores 0. Equal texts get equal scores. An empty table gives an
 empty result; a sample without toxic rows gives scores of about 0.
@@ -52,23 +52,19 @@ class ToxicityModel:
         return Memo(lambda w: tuple(f for f in features(w) if f in self.weights), 300_000)
 
     def sentences(self, text: str | None, hits: Memo) -> list[tuple[str, float]]:
-        """The sentences that have a word, and their scores."""
+        """The sentences that have a word, and their scores; 0 for those without a known feature."""
         out = []
         for s in SENTENCE.split(text or ""):
             if words := s.split():
-                z = self.bias + sum(self.weights[f] for f in set().union(*hits.many(words)))
-                out.append((s.strip(), float(1 / (1 + np.exp(-z)))))
+                known = set().union(*hits.many(words))
+                z = self.bias + sum(self.weights[f] for f in known)
+                out.append((s.strip(), float(1 / (1 + np.exp(-z))) if known else 0.0))
         return out
 
     def score(self, text: str | None, hits: Memo) -> float:
-        """Noisy-or over the sentences. All without a known feature share one factor."""
-        if not text:
+        """Noisy-or over the sentences; those without a known feature add nothing."""
+        if not text or not any(hits.many(text.split())):
             return 0.0
-        found = hits.many(text.split())
-        plain = 1 / (1 + np.exp(-self.bias))
-        if not any(found):
-            n = sum(1 for s in SENTENCE.split(text) if s.strip())
-            return float(1 - (1 - plain) ** n)
         clean = 1.0
         for _, p in self.sentences(text, hits):
             clean *= 1 - p
@@ -104,7 +100,7 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
     if not names:
         return ToxicityModel()
     at = {f: i for i, f in enumerate(names)}
-    rows, cols, bag, plain = [], [], [], np.zeros(len(y))
+    rows, cols, bag = [], [], []
     for d, text in enumerate(texts):
         for s in _in_sentences(text, of):
             known = [at[f] for f in s if f in at]
@@ -112,17 +108,13 @@ def train(texts: list[str], labels: list[int]) -> ToxicityModel:
                 rows += [len(bag)] * len(known)
                 cols += known
                 bag.append(d)
-            else:
-                plain[d] += 1
     rows, cols, bag = np.array(rows), np.array(cols), np.array(bag)
-    # log chance of being clean that sentences without a known feature give
-    base = plain * np.log1p(-1 / (1 + np.exp(-BIAS)))
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         z = BIAS + np.bincount(rows, w[cols], len(bag))
         p = 1 / (1 + np.exp(-z))
-        clean = base + np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
+        clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         chance = -np.expm1(clean)
         # d loss / d z of a sentence: p in clean documents, -p * clean / chance in toxic ones
         pull = np.where(y > 0, -np.exp(clean) / np.maximum(chance, 1e-9), 1.0) * share

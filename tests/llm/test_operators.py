@@ -251,6 +251,14 @@ def test_toxic_sentences_are_found(spark):
     assert model.score(". ".join(["ka to mi"] * 5000), model.hits()) < 0.5
 
 
+def test_length_alone_is_not_toxic():
+    model = toxicity.ToxicityModel({"vile ": 14.0})
+    long = ". ".join(["ka to mi"] * 100_000)
+    assert model.score(long, model.hits()) == 0 and model.score(long + ". vile", model.hits()) > 0.9
+    weak = toxicity.ToxicityModel({"tame ": 2.0})
+    assert weak.score(long + ". tame", weak.hits()) < 0.01
+
+
 # op5
 
 
