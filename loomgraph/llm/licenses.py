@@ -2,13 +2,17 @@
 
 A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings made one, anything but letters and digits
 made a space. The digest of the whole form is looked up among those of known licence texts; the same look-up on each line finds
-one-line notices inside longer texts. The table of known forms is part of this module, so its size is fixed.
+one-line notices inside longer texts. The table of known forms is part of this module and its folder of texts, so its size is fixed.
 
 Rows: null and empty texts have no licence. A row's answer depends on its text only, so repeated rows repeat it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +95,33 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole licences from the folder of texts, in the forms that they are handed on in: with or without title, numbers, rights line or closing advice."""
+    folder = files("loomgraph.llm") / "license_texts"
+    read = lambda name: (folder / f"{name}.txt").read_text(encoding="utf-8")
+    out = []
+    for name, n in (("BSD-2-Clause", 2), ("BSD-3-Clause", 3)):
+        body = read(name)
+        plain = re.sub(r"(?m)^ *(?:[0-9]\.|\*) ", "", body[body.index("Redistribution and use") :])
+        parts = re.split(r"(?=Redistributions of source|Redistributions in binary|Neither the name)", plain)
+        numbered = parts[0] + "".join(f"{k}. {p}" for k, p in enumerate(parts[1:], 1))
+        titles = ("", f"BSD {n}-Clause License\n", f"The BSD {n}-Clause License\n")
+        for title, rights, text in product(titles, ("", "All rights reserved.\n"), (plain, numbered)):
+            out += [(name, title + rights + text), (name, title + rights + re.sub(r"HOLDER(\s+)OR", r"OWNER\1OR", text))]
+    for name, body in (("MIT", MIT.split("\n", 1)[1]), ("ISC", ISC.split("\n", 1)[1])):
+        out += [(name, title + body) for title in ("", f"The {name} License\n", f"The {name} License ({name})\n")]
+    apache, gpl2 = read("Apache-2.0"), read("GPL-2.0")
+    moved = re.sub(r"51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", gpl2)
+    forms = [("Apache-2.0", apache), ("Apache-2.0", re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", apache)), ("GPL-2.0", gpl2), ("GPL-2.0", moved)]
+    forms += [(name, read(name)) for name in ("GPL-3.0", "MPL-2.0", "CC0-1.0")]
+    end = "END OF TERMS AND CONDITIONS"
+    forms += [(name, t[: t.index(end) + cut]) for name, t in forms if end in t for cut in (0, len(end))]
+    return out + [(name, re.sub("https?://", web, t)) for name, t in forms for web in ("http://", "https://")]
+
+
 def known_licenses(spark) -> DataFrame:
-    """digest, license; forms that fall together count once. As many rows as KNOWN at most."""
-    rows = spark.createDataFrame(KNOWN, "license string, text string")
+    """digest, license; forms that fall together count once. As many rows as KNOWN and ``whole_texts`` at most."""
+    rows = spark.createDataFrame(KNOWN + whole_texts(), "license string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -104,9 +132,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line gets a canonical form, as any of its words may be a spelling of a known one.
     """
     rows = named(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    known = known_licenses(docs.sparkSession)
-    listed = F.create_map(*[F.lit(x) for r in known.collect() for x in (r.digest, r.license)])
+    found = known_licenses(docs.sparkSession).collect()
+    known = docs.sparkSession.createDataFrame(found, "digest string, license string")
+    listed = F.create_map(*[F.lit(x) for r in found for x in (r.digest, r.license)])
     hits = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.try_element_at(listed, digest(x))), lambda x: x.isNotNull())
-    found = rows.select("id", digest(F.col("text")).alias("digest"), hits.alias("hits"))
-    joined = found.join(F.broadcast(known), "digest", "left")
+    scanned = rows.select("id", digest(F.col("text")).alias("digest"), hits.alias("hits"))
+    joined = scanned.join(F.broadcast(known), "digest", "left")
     return joined.select("id", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))

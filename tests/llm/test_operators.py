@@ -4,6 +4,7 @@ import html
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -330,6 +331,17 @@ def test_notices_in_words_of_equivalent_spellings(spark):
     assert out == [*[(k, x, x, 1) for k, x in enumerate(names)], (4, None, "CC-BY-4.0,CC-BY-NC-4.0,GPL-3.0", 4)]
 
 
+def test_whole_licences(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"]
+    texts = [(folder / f"{n}.txt").read_text() for n in names]
+    filled = texts[0].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some One").replace("http:", "https:")
+    bare = "Copyright (c) 2001, Some One\nAll rights reserved.\n\n" + texts[2][texts[2].index("Redistribution") :].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    more = [filled, bare, "Copyright 2020 Some One\n" + licenses.MIT.split("\n", 1)[1], texts[0] + "\nand more"]
+    out = {r.id: r.license for r in licenses.scan_licenses(docs(spark, texts + more)).collect()}
+    assert [out[k] for k in range(len(out))] == [*names, "Apache-2.0", "BSD-3-Clause", "MIT", None]
+
+
 # op7
 
 
