@@ -1,7 +1,7 @@
 """The corpus pipeline: documents pass language, toxicity, near-duplicate and benchmark filters, and are encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. Rows with equal ids share the verdicts that are by id; rows without an id pass those.
+documents. Verdicts are by row, whether its id is null or repeated.
 """
 
 from __future__ import annotations
@@ -15,11 +15,17 @@ from loomgraph.llm.common import fresh
 from loomgraph.runtime import written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``ids(id)``. That table is written first, so its size decides how it is joined."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, which is written with them so that each reading sees the same; and that column's name."""
+    (name,) = fresh(docs, "row")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def _without(docs: DataFrame, number: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose number is not in ``dropped(id)``, without it. That table is written first, so its size decides how it is joined."""
     (name,) = fresh(docs, "dropped")
-    dropped = written(ids.where("id IS NOT NULL").select(F.col("id").alias(name)).distinct(), "dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+    dropped = written(dropped.select(F.col("id").alias(name)), "dropped")
+    return docs.join(dropped, F.col(number) == F.col(name), "left_anti").drop(number)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +44,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the least id."""
-    return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")).select("id"))
+    """Keeps of each group one row, the one with the least id; null ids come last."""
+    rows, number = _numbered(docs)
+    found = written(near_dedup.near_duplicates(rows, id_col=number).select("id", "component_id"), "components")
+    own = rows.select(F.col(number).alias("own"), F.col("doc_id").isNull().alias("last"), "doc_id")
+    # rows that are alone need no choice
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    grouped = written(found.join(groups, "component_id").join(own, F.col("id") == F.col("own")), "grouped")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("last", "doc_id", "id")).alias("first")).select(F.col("first.id").alias("stays"))
+    return _without(rows, number, grouped.join(first, F.col("id") == F.col("stays"), "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows cover a twentieth."""
-    found = decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("id"))
+    rows, number = _numbered(docs)
+    found = decontamination.decontaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=number)
+    return _without(rows, number, found.where("contaminated"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

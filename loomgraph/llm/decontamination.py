@@ -8,7 +8,8 @@ possible start, which must lie in the document with the whole window (position a
 The benchmark is taken in blocks of at most BLOCK_WORDS words, and each block is one pass over the documents; an index of
 that bounded size is what each executor gets. A benchmark of millions of windows costs more passes, not more memory.
 
-Rows: null and empty texts have no words, and an item without words matches nothing. Items of equal text each count. A document
+Rows: null and empty texts have no words, and an item without words matches nothing. Items of equal text each count; one without
+an id counts for the hit words, but is no item that could be named. A document
 of any length is matched whole. An empty benchmark leaves every document clean; an empty table gives an empty result.
 """
 
@@ -40,7 +41,7 @@ def tokens(text: str | None) -> list[bytes]:
 class Windows:
     """The distinct windows of some items, as word numbers, and their shingles."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.vocab: dict[bytes, int] = {}
         self.windows: list[tuple[int, ...]] = []
         self.owners: list[list[str]] = []
@@ -53,7 +54,7 @@ class Windows:
                     at[w] = len(self.windows)
                     self.windows.append(w)
                     self.owners.append([])
-                if item not in self.owners[at[w]][-1:]:
+                if item is not None and item not in self.owners[at[w]][-1:]:
                     self.owners[at[w]].append(item)
         self.n = len(self.vocab)
         self.shingles = np.unique(np.array([s for w in self.windows for s, _ in self.of(w)], dtype="int64"))
@@ -118,9 +119,9 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items by blocks of at most ``most`` words (or one item), read one after another in the order of their ids."""
-    rows = named(benchmark, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("string").alias("id"), "text")
+    rows = named(benchmark, id=id_col, text=text_col).where("text IS NOT NULL").select(F.col("id").cast("string").alias("id"), "text")
     block, size = [], 0
     for r in rows.sort("id", "text").toLocalIterator():
         n = len(tokens(r.text))

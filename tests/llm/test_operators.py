@@ -521,6 +521,13 @@ def test_blocks_keep_repeated_rows(spark):
     assert one == many and len(one) == 3
 
 
+@pytest.mark.parametrize("block", [10**6, 2])
+def test_items_without_an_id_count_for_hit_words(spark, block):
+    bench = spark.createDataFrame([(None, "the cat"), (None, "a dog"), (1, "the bird")], "item_id long, text string")
+    out = decontamination.decontaminated(docs(spark, ["the cat and a dog", "the bird", "the end"]), bench, block_words=block)
+    assert got(out, "id", "n_hit", "n_items", "contaminated") == [(0, 4, 0, True), (1, 2, 1, True), (2, 0, 0, False)]
+
+
 # op10
 
 

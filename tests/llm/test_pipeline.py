@@ -52,3 +52,18 @@ def test_extra_columns_with_clashing_names(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
     assert corpus_pipeline.encode_pieces(spark, docs, SMALL).count() == 40
+
+
+def test_verdicts_are_by_row(spark, tmp_path):
+    passage = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(None, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = {k: " ".join(f"{k}w{i}" for i in range(30)) for k in "abcd"}
+    rows = [(1, clean["a"]), (1, clean["a"]), (None, clean["a"]), (None, clean["b"]), (None, clean["b"]), (2, clean["c"]), (3, clean["c"]), (3, clean["d"]), (4, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, str(tmp_path))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(1, clean["a"]), (None, clean["b"]), (2, clean["c"]), (3, clean["d"]), (4, ""), (None, None)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    table = spark.createDataFrame([(1, passage), (1, clean["a"]), (None, passage), (None, clean["b"])], "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, table, str(tmp_path))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, clean["a"]), (None, clean["b"])]))
