@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable
+from contextlib import suppress
+from sys import getsizeof
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -21,14 +24,19 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Memo:
-    """A function's results, kept in two generations of ``limit`` / 2 at most.
+    """A function's results, kept in two generations of ``limit`` / 2 bytes at most.
 
     Once the young generation is full, the old one is forgotten; what is used again moves back, so
-    frequent keys stay and memory stays bounded. The function must not return None.
+    frequent keys stay and memory stays bounded, however long the keys are. What would fill a large part of a generation alone is
+    computed anew each time. The function must not return None.
     """
 
-    def __init__(self, compute: Callable[[Any], Any], limit: int = 800_000):
-        self.compute, self.half = compute, max(1, limit // 2)
+    #: Bytes of an entry's place in its table, and the part of a generation that one entry may have.
+    PLACE, PART = 100, 64
+
+    def __init__(self, compute: Callable[[Any], Any], limit: int = 64 << 20):
+        self.compute, self.half = compute, limit // 2
+        self.room = self.half
         self.young: dict = {}
         self.old: dict = {}
 
@@ -40,9 +48,12 @@ class Memo:
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        size = self.PLACE + getsizeof(key) + getsizeof(value)
+        if size * self.PART <= self.half:
+            if size > self.room:
+                self.old, self.young, self.room = self.young, {}, self.half
+            self.room -= size
+            self.young[key] = value
         return value
 
     def many(self, keys: list) -> list:
@@ -66,6 +77,8 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
+        with suppress(OSError, AttributeError):  # what the last one freed goes back to the system, where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

@@ -4,14 +4,16 @@ A text is cut where no merge can cross: before a run of spaces and around line e
 part is covered from the left by the longest pieces that an Aho-Corasick automaton finds. A piece may follow another only if
 merging their joined characters gives the two back; else the next shorter prefix is tried, and where none fits,
 the last piece is taken back and its end marked in a bitfield, so that no position fails twice. Characters without
-a piece become their bytes' pieces.
+a piece become their bytes' pieces. Decoding looks at the ids only.
 
-Rows: null counts as empty, which has no ids and decodes to the empty text. The model file has to be at the same path
-on every executor. Only the id and text columns are read.
+Rows: null counts as empty, which has no ids and decodes to the empty text. A text of any length is encoded whole, a line without spaces as one
+part. Repeated rows and ids each come back, and an empty table gives an empty result. The model file has to be at the same path
+on every executor. Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from collections.abc import Iterator
 
@@ -21,21 +23,13 @@ from pyspark.sql import DataFrame
 from loomgraph.llm.common import Memo, held, named
 
 SPACE = "▁"
-#: Parts of texts, and pairs of pieces, that a worker remembers.
-PARTS, PAIRS = 400_000, 300_000
+#: Bytes of what a worker remembers: ids of parts after a space, of parts at line starts, and whether pairs of pieces fit.
+SPACED, BARE, PAIRS = 96 << 20, 16 << 20, 32 << 20
+#: Parts that are decoded at once.
+BLOCK = 20_000
 
-
-def spelt(raw: bytes | bytearray) -> str:
-    """UTF-8, with U+FFFD for each single byte that starts no character."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as e:
-            out += [raw[at : at + e.start].decode(), "\ufffd"]
-            at += e.start + 1
-    return "".join(out)
+# U+FFFD for each single byte that starts no character
+codecs.register_error("loomgraph-bytes", lambda e: ("\ufffd", e.start + 1))
 
 
 class PieceCodec:
@@ -50,7 +44,8 @@ class PieceCodec:
         self.id = {p: i for i, p in self.piece.items()}
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.value = {i: b for b, i in self.byte.items()}
+        # by decimal id: what a piece shows; bytes beyond ASCII as lone surrogates until all bytes of a character are there
+        self.shown = {str(i): p.replace(SPACE, " ") for i, p in self.piece.items()} | {str(i): chr(b if b < 128 else 0xDC00 + b) for b, i in self.byte.items()}
         if len(self.byte) != 256:
             raise ValueError("the model must have a piece for every byte")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.id) or any(c not in self.id for p in self.id for c in p):
@@ -65,10 +60,8 @@ class PieceCodec:
         self.length = {i: len(p) for i, p in self.piece.items()}
         self.shorter = {i: next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for i, p in self.piece.items()}
         self.fits = Memo(self._fits, PAIRS)
-        self.spaced = Memo(lambda w: self._checked(" " + w), PARTS)
-        self.bare = Memo(self._checked, PARTS // 4)
-        #: Whether every part so far had ids that decode to the part itself.
-        self.faithful = True
+        self.spaced = Memo(lambda w: self._ids(" " + w), SPACED)
+        self.bare = Memo(self._ids, BARE)
 
     def merged(self, chars: str) -> list[str]:
         """The model's own procedure: again and again the best-scored adjacent pair, the leftmost of equals."""
@@ -97,17 +90,17 @@ class PieceCodec:
             longest[end - size + 1] = i  # ends rise, so the last found for a start is the longest
         fits, length, shorter, n = self.fits, self.length, self.shorter, len(chars)
         out: list[int] = []
-        failed, at, piece = 0, 0, longest[0]
+        failed, at, piece = bytearray(n // 8 + 1), 0, longest[0]
         while at < n:
             last = out[-1] + 1 << 32 if out else 0
-            while piece is not None and (failed >> (at + length[piece]) & 1 or not fits[last + piece]):
+            while piece is not None and (failed[at + length[piece] >> 3] >> (at + length[piece] & 7) & 1 or not fits[last + piece]):
                 piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
                 at += length[piece]
                 piece = longest[at] if at < n else None
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= length[piece]
         return out
@@ -131,24 +124,6 @@ class PieceCodec:
             out += self._covered(run)
         return ",".join(map(str, out))
 
-    def _checked(self, part: str) -> str:
-        ids = self._ids(part)
-        self.faithful = self.faithful and self._text(ids) == part
-        return ids
-
-    def _text(self, ids: str) -> str:
-        """The characters of a part's ids; bytes that spell no character become U+FFFD each."""
-        out, raw = [], bytearray()
-        for i in map(int, ids.split(",")):
-            if i in self.value:
-                raw.append(self.value[i])
-                continue
-            if raw:
-                out.append(spelt(raw))
-                raw = bytearray()
-            out.append(self.piece[i].replace(SPACE, " "))
-        return "".join(out) + spelt(raw)
-
     def parts(self, text: str) -> list[str]:
         """Ids of a text, as comma-joined strings of its parts; a space is put before the text."""
         if not text:
@@ -179,20 +154,21 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for part in self.parts(text) for i in part.split(",")]
 
-    def joined(self, text: str, parts: list[str]) -> str:
-        """The decoded text of the parts that ``text`` was encoded to, without the space that encoding put first.
-
-        Each distinct part was decoded from its ids as it was first seen; while all of them gave
-        themselves back, their concatenation is the text.
-        """
-        if self.faithful:
-            return text.replace(SPACE, " ")
-        whole = "".join(map(self._text, parts))
-        return whole[1:] if whole[:1] == " " else whole
+    def decoded(self, parts: list[str]) -> str:
+        """The text of comma-joined ids, without the space that encoding put first; a block of parts at a time."""
+        shown, out = self.shown, []
+        for k in range(0, len(parts), BLOCK):
+            out.append("".join(map(shown.__getitem__, ",".join(parts[k : k + BLOCK]).split(","))))
+        text = "".join(out)
+        if not text.isascii():
+            try:
+                text.encode()
+            except UnicodeEncodeError:  # some characters are in bytes
+                text = text.encode("utf-8", "surrogateescape").decode("utf-8", "loomgraph-bytes")
+        return text[1:] if text[:1] == " " else text
 
     def decode(self, ids: list[int]) -> str:
-        text = self._text(",".join(map(str, ids))) if ids else ""
-        return text[1:] if text[:1] == " " else text
+        return self.decoded(list(map(str, ids)))
 
 
 def codec(path: str) -> PieceCodec:
@@ -206,7 +182,7 @@ def _each(path: str, full: bool):
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if full else {})
             for text in f["text"]:
                 parts = own.parts(text) if text else []
-                ids, decoded = ",".join(parts), own.joined(text, parts) if text else ""
+                ids, decoded = ",".join(parts), own.decoded(parts)
                 out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

@@ -3,8 +3,8 @@
 Content is keyed by a digest of the tokenizer's version and the normalised text. Counts that a cache table
 has are joined; of the rest each distinct text is encoded once and appended to the cache.
 
-Rows: null counts as empty. Repeated rows and ids each come back with the count of their own text. An empty
-table gives an empty result. Only the id and text columns are read, so others may have any names.
+Rows: null counts as empty. Repeated rows and ids each come back with the count of their own text, which is encoded once. Texts of any length
+are counted whole. An empty table gives an empty result. Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -23,8 +23,10 @@ from loomgraph.llm.common import Memo, held, named
 from loomgraph.runtime import scratch, written
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
-#: Words that a worker remembers.
-MEMO = 1_000_000
+#: Bytes of the words' counts that a worker remembers.
+MEMO = 128 << 20
+#: Missing digests that are sent to all executors at most, 32 bytes each.
+FEW = 200_000
 
 
 class _Library:
@@ -127,24 +129,34 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Parquet table (digest, n_tokens) in a store that all executors share; by default a new one in the shared
     folder. Normalising replaces null by the empty text: further folding would change counts.
 
-    Of equal texts the one with the least id is encoded, which a grouped minimum finds without moving a text; a text moves
-    once, to meet its id, and counts come back by a join on the digest, whose hot keys the engine may split.
+    Equal texts are brought to one before they move, so a hot text costs one row per task, and a text moves once at most. Counts come back
+    by a join on the digest, whose hot keys the engine may split.
     """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
     version = F.lit(tokenizer_version(tokenizer))
     rows = named(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.unhex(F.sha2(F.concat(version, F.lit(":"), F.col("text")), 256)).alias("digest")
-    keys = rows.select("id", key, F.octet_length("text").cast("long").alias("n_bytes"))
+    keyed = rows.select("id", F.unhex(F.sha2(F.concat(version, F.lit(":"), F.col("text")), 256)).alias("digest"), "text")
+    keys = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     try:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).select("digest", "n_tokens")
+        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).select("digest")
     except AnalysisException:
         known = None
-    firsts = keys.groupBy("digest").agg(F.min("id").alias("id"))
-    missing = firsts if known is None else firsts.join(known, "digest", "left_anti")
-    texts = missing.join(rows.select(F.col("id").alias("_id"), "text"), F.col("id").eqNullSafe(F.col("_id")))
-    texts = texts.where(F.unhex(F.sha2(F.concat(version, F.lit(":"), F.col("text")), 256)) == F.col("digest")).select("digest", "text")
+    if known is None:
+        texts = _one_each(keyed)
+    else:
+        seen = Observation()
+        missing = written(keys.select("digest").distinct().join(known, "digest", "left_anti").observe(seen, F.count("*").alias("n")), "missing")
+        if int(seen.get["n"]) <= FEW:
+            texts = _one_each(keyed.join(F.broadcast(missing), "digest", "left_semi"))
+        else:
+            texts = _one_each(keyed).join(missing, "digest", "left_semi")
     texts.mapInPandas(_encoded(tokenizer), CACHE_SCHEMA).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     stored = written(stored, "counts")  # a plain table: only then may the engine split a hot digest's rows
     return keys.join(stored, "digest").select("id", "n_bytes", "n_tokens")
+
+
+def _one_each(keyed: DataFrame) -> DataFrame:
+    """digest, text: one row per digest."""
+    return keyed.groupBy("digest").agg(F.first("text").alias("text"))
