@@ -58,9 +58,17 @@ def random_texts(n, seed=0, alphabet="ab thein \n é▁1.,日😀"):
 
 def test_memo_forgets_and_recomputes():
     calls = []
-    m = Memo(lambda k: calls.append(k) or (k * 2 + 1), 4)
-    assert m.many([1, 2, 3, 1, 2, 3]) == [3, 5, 7, 3, 5, 7]
-    assert len(m.young) <= 2 and len(m.old) <= 2
+    m = Memo(lambda k: calls.append(k) or (k * 2 + 1), 400 * Memo.PART)
+    keys = list(range(1, 200)) * 2
+    assert m.many(keys) == [k * 2 + 1 for k in keys]
+    assert 0 < len(m.young) < 100 and len(m.old) < 100 and len(calls) > 199
+
+
+def test_memo_is_bounded_in_bytes_by_long_keys():
+    m = Memo(len, 1 << 20)
+    m.many([f"{k}" * 1000 for k in range(1000, 3000)] + ["x" * (1 << 20)])
+    assert sum(map(len, [*m.young, *m.old])) < 1 << 20
+    assert m["x" * (1 << 20)] == 1 << 20 and "x" * (1 << 20) not in m.young
 
 
 # op1
@@ -101,6 +109,24 @@ def test_token_counts_of_other_libraries_and_repeated_rows(spark):
     assert token_counts.tokenizer_version(path) != token_counts.tokenizer_version(MODEL)
 
 
+def test_each_distinct_text_is_encoded_once(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    d = docs(spark, ["same text"] * 50 + ["other", "same text"], [1] * 50 + [1, None])
+    assert token_counts.token_counts(d, MODEL, cache=cache).count() == 52
+    assert spark.read.parquet(cache).count() == 2
+    more = docs(spark, ["same text"] * 9 + ["new"] * 9, [1] * 18)
+    assert token_counts.token_counts(more, MODEL, cache=cache).count() == 18
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_many_misses_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FEW", 1)
+    cache = str(tmp_path / "cache")
+    token_counts.token_counts(docs(spark, ["a b", "c"]), MODEL, cache=cache).collect()
+    assert token_counts.token_counts(docs(spark, ["a b", "d", "e", "e", None]), MODEL, cache=cache).count() == 5
+    assert spark.read.parquet(cache).count() == 5
+
+
 def test_empty_tables(spark):
     d = docs(spark, [])
     assert token_counts.token_counts(d, MODEL).isEmpty()
@@ -220,14 +246,46 @@ def test_languages_on_held_out_texts(spark):
 
 
 def test_long_texts_are_used_whole():
-    model = lang_id.LanguageModel(["a", "b"], np.random.default_rng(0).normal(size=(lang_id.BUCKETS, 2)).astype("float32"), np.zeros(2))
+    model = lang_id.LanguageModel(["a", "b"], np.random.default_rng(0).normal(size=(lang_id.BUCKETS, 3)).astype("float32"), np.zeros(3))
     rows = lang_id.WordRows(model, 50_000)
     words = LONG.split()
     one = rows.logits([LONG])[0]
     parts = np.array([rows.total([w])[0] for w in words[:701]]).sum(0)  # all kinds of words
     counts = collections.Counter(words)
     exact = sum(rows.total([w])[0].astype(float) * n for w, n in counts.items())
-    assert np.allclose(one, exact[:-1] / exact[-1], atol=1e-4) and len(parts) == 3
+    assert np.allclose(one, exact[:-1] / exact[-1], atol=1e-4) and len(parts) == 4
+
+
+def test_what_is_no_language_is_rejected(spark):
+    rnd = random.Random(3)
+    rows = [(k, made_up(rnd, LANGS[l], rnd.randint(2, 80)), l) for k, l in enumerate(rnd.choices(list(LANGS), k=900))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(table.where("doc_id < 600"))
+    odd = ["1234 qqq zzzz xxxxx", "asdf qwerty uiop zxcv", "lkjsdf wpoeirj xcmvn qpwoe", "x7f9 2kd8 zz81 q0", "Привет как дела", "日本語のテキスト"]
+    out = {r.id: r.accepted for r in lang_id.predict_languages(docs(spark, odd), model).collect()}
+    assert not any(out.values())
+    known = lang_id.predict_languages(table.where("doc_id >= 600"), model)
+    assert known.where("accepted").count() >= 0.98 * 300
+
+
+def test_language_training_uses_whole_texts_and_draws_repeated_rows_once(spark):
+    """Two languages that begin alike differ only far behind; a third has few rows among copies of one."""
+    rnd = random.Random(4)
+    rows = [(k, made_up(rnd, LANGS["aa"], 1_500) + " " + made_up(rnd, LANGS[l], 1_500), l) for k, l in enumerate(["aa", "bb"] * 50)]
+    rows += [(100, "lhção quaões", "cc")] * 300 + [(101, made_up(rnd, LANGS["cc"], 30), "cc")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(table, sample=120)
+    assert model.langs == ["aa", "bb", "cc"]
+    a, b = (made_up(rnd, LANGS["aa"], 1_500) + " " + made_up(rnd, LANGS[l], 1_500) for l in ("aa", "bb"))
+    assert [x[0] for x in model.answers([a, b], lang_id.WordRows(model))] == ["aa", "bb"]
+    again = lang_id.fit(table.repartition(7), sample=120)
+    assert np.array_equal(model.table, again.table) and model.threshold == again.threshold
+
+
+def test_quotas_are_even_and_bounded():
+    assert lang_id.quotas({"a": 10_000, "b": 5, "c": 900}, 300) == {"b": 5, "c": 147, "a": 148}
+    assert lang_id.quotas({"a": 3, "b": 4}, 100) == {"a": 3, "b": 4}
+    assert lang_id.quotas({k: 9 for k in "abcd"}, 2) == {k: 1 for k in "abcd"}
 
 
 def test_toxic_sentences_are_found(spark):
@@ -249,7 +307,29 @@ def test_toxic_sentences_are_found(spark):
     assert len(found) == 1 and re.search("vile|grim", found[0].s.sentence)
     assert got(toxicity.score_toxicity(docs(spark, [None, ""]), model), "score") == [(0.0,), (0.0,)]
     # a very long clean text stays clean
-    assert model.score(". ".join(["ka to mi"] * 5000), model.hits()) < 0.5
+    assert model.score(". ".join(["ka to mi"] * 100_000), model.hits()) < 0.5
+    # a document's score is the noisy-or of the sentences that are told for it
+    hits = model.hits()
+    for t in [r[1] for r in rows] + ["ok.vile", "ok!vile?ka", "vile", "..vile\n", "ka.grimwald.to"] + random_texts(100, 3, "vile .!?\ngrimwald "):
+        told = 1 - np.prod([1 - p for _, p in model.sentences(t, hits)])
+        assert model.score(t, hits) == pytest.approx(told, abs=1e-12), t
+    assert model.score("ok.vile", hits) > 0.5
+
+
+def test_toxicity_learns_from_late_sentences_and_any_ids(spark):
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        late = made_up(rnd, LANGS["aa"], 9_000) + ". " + made_up(rnd, LANGS["aa"], 8)
+        rows.append((f"id-{k}", late + (" vile. ka" if k % 3 == 0 else ". ka"), int(k % 3 == 0)))
+    table = spark.createDataFrame([(*r, 1) for r in [*rows, rows[0]]], "doc_id string, text string, toxic int, sentences int")
+    model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    out = {r.id: r.score for r in toxicity.score_toxicity(table, model).collect()}
+    assert all((out[i] >= 0.5) == bool(y) for i, _, y in rows)
+    # the bound on rows is kept whatever the balance of the classes
+    rated = spark.createDataFrame([(k, int(k < 5)) for k in range(1000)], "id long, toxic int").withColumn("h", F.xxhash64("id"))
+    drawn = {r.toxic: r["count"] for r in toxicity._drawn(rated, 100).groupBy("toxic").count().collect()}
+    assert drawn == {1: 5, 0: 95}
 
 
 def test_length_alone_is_not_toxic():
@@ -551,6 +631,25 @@ def test_backtracking_agrees_with_merging():
         assert [own.piece[i] for i in own._covered(t)] == own.merged(t)
 
 
+def test_a_long_line_without_spaces(library):
+    own = piece_codec.PieceCodec(MODEL)
+    rnd = random.Random(11)
+    for text in ("".join(rnd.choice("abcdeinrst日é") for _ in range(20_000)), "ab" * 30_000 + "\n" + "q" * 5_000):
+        ids = library.encode(text)
+        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids) == text
+
+
+def test_decoding_looks_at_the_ids_only(library):
+    own = piece_codec.PieceCodec(MODEL)
+    rnd = random.Random(12)
+    some = list(own.piece) + list(own.byte.values())
+    for _ in range(300):
+        ids = [rnd.choice(some) for _ in range(rnd.randint(1, 12))]
+        assert own.decode(ids) == library.decode(ids), ids
+    parts = own.parts("one two\nthree")
+    assert own.decoded(parts[:2]) == "one two" and own.decoded([]) == ""
+
+
 def test_bytes_that_spell_nothing_are_replaced(library):
     own = piece_codec.PieceCodec(MODEL)
     ids = [own.byte[0xE6], own.byte[0x97], own.id["a"], own.byte[0xFF]]
