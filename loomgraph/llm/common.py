@@ -9,6 +9,7 @@ from contextlib import suppress
 from sys import getsizeof
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,17 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_ALNUM = bytes(LOWER[b] if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of the splitmix64 generator."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of anything but space and \\x09-\\x0D, as UTF-8; bytes.split() splits on just these six."""
     return text.encode().split() if text else []
@@ -60,8 +72,10 @@ class Memo:
         """The results of all keys, in their order."""
         out = list(map(self.young.get, keys))
         if None in out:
-            for at, value in enumerate(out):
-                if value is None:
+            at = -1
+            with suppress(ValueError):  # there is no further None
+                while True:
+                    at = out.index(None, at + 1)
                     out[at] = self[keys[at]]
         return out
 

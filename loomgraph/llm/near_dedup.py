@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, named
+from loomgraph.llm.common import GOLDEN, LOWER, mix, named
 from loomgraph.plans.components import component_labels
 from loomgraph.runtime import written
 
@@ -38,18 +38,9 @@ FEW = 4
 #: Shingles whose permutations are held at once: 2 * SLOTS bytes each.
 CHUNK = 40_000
 
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.int64(np.iinfo(np.int64).max)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of the splitmix64 generator."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     import xxhash
@@ -61,7 +52,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), dtype="uint64")
     for k in range(min(size, len(h))):
-        out = _mix(out * _GOLDEN + h[k : k + n])
+        out = mix(out * GOLDEN + h[k : k + n])
     return np.unique(out)
 
 
@@ -88,7 +79,7 @@ def _chunk(sets: list[np.ndarray], slots: int) -> np.ndarray:
     seed = np.concatenate(sets)
     places: np.ndarray | None = None
     for step in range(slots):
-        h = _mix(seed + np.uint64((step + 1) * int(_GOLDEN) & (1 << 64) - 1))
+        h = mix(seed + np.uint64((step + 1) * int(GOLDEN) & (1 << 64) - 1))
         pick = step + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype("int64")
         value = np.int64(step << 32) + (h >> np.uint64(32)).astype("int64")
         if places is None:
@@ -120,7 +111,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     parts = signature.reshape(len(signature), BANDS, ROWS).astype("uint64")
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype="uint64"), (len(signature), BANDS)).copy()
     for k in range(ROWS):
-        out = _mix(out * _GOLDEN + parts[:, :, k])
+        out = mix(out * GOLDEN + parts[:, :, k])
     return out.view("int64")
 
 

@@ -585,26 +585,41 @@ def contaminated_case():
     return texts, items
 
 
-@pytest.mark.parametrize("block", [10**6, 60])
-def test_decontamination_matches_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [decontamination.MOST_BITS, 64])
+def test_decontamination_matches_brute_force(spark, bits):
+    """Also with a filter so small that every shingle passes it."""
     texts, items = contaminated_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontamination.decontaminated(docs(spark, texts), bench, block_words=block)
+    out = decontamination.decontaminated(docs(spark, texts), bench, most_bits=bits)
     assert got(out, "id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_hits(texts, items)
 
 
-def test_blocks_keep_repeated_rows(spark):
+def test_repeated_rows_come_back_with_their_ranges(spark):
     texts, items = contaminated_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    d = docs(spark, [texts[10], texts[10], texts[11]], [1, 1, 1])
-    one, many = (got(decontamination.decontaminated(d, bench, block_words=b), "n_words", "n_hit", "items_sha256") for b in (10**6, 60))
-    assert one == many and len(one) == 3
+    passage = " ".join(f"q{k}" for k in range(20))
+    d = docs(spark, [texts[10], texts[10], texts[11], passage + " x " + passage, passage + " x " + passage], [1, 1, 1, None, None])
+    out = got(decontamination.contamination(d, bench.union(spark.createDataFrame([(90, passage)], bench.schema))), "id", "n_words", "n_hit", "items", "ranges")
+    assert len(out) == 5 and len({str(r) for r in out}) == 3
+    assert out[0] == (None, 41, 40, ["90"], [[0, 20], [21, 41]])
 
 
-@pytest.mark.parametrize("block", [10**6, 2])
-def test_items_without_an_id_count_for_hit_words(spark, block):
+def test_blocks_of_words_do_not_matter(spark, monkeypatch):
+    texts, items = contaminated_case()
+    index = decontamination.Filter(1 << 10, [1, 5])
+    index.map[:] = 255
+    words = decontamination.tokens(" ".join(t or "" for t in texts))
+    whole = [(size, at.tolist()) for size, at, _ in index.found(words, decontamination._left(np.array([len(words)])))]
+    assert whole == [(1, list(range(len(words)))), (5, list(range(len(words) - 4)))]
+    monkeypatch.setattr(decontamination, "BLOCK", 7)
+    parts = list(decontamination._blocks(texts))
+    assert sum((list(n) for _, _, n in parts), []) == [len(decontamination.tokens(t)) for t in texts]
+    assert [k for k, _, _ in parts] == list(np.cumsum([0] + [len(n) for _, _, n in parts])[:-1])
+
+
+def test_items_without_an_id_count_for_hit_words(spark):
     bench = spark.createDataFrame([(None, "the cat"), (None, "a dog"), (1, "the bird")], "item_id long, text string")
-    out = decontamination.decontaminated(docs(spark, ["the cat and a dog", "the bird", "the end"]), bench, block_words=block)
+    out = decontamination.decontaminated(docs(spark, ["the cat and a dog", "the bird", "the end"]), bench)
     assert got(out, "id", "n_hit", "n_items", "contaminated") == [(0, 4, 0, True), (1, 2, 1, True), (2, 0, 0, False)]
 
 
