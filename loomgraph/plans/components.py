@@ -22,14 +22,14 @@ def component_labels(links: DataFrame) -> DataFrame:
     live, n = ends.keep_counting(live, F.col("a") != F.col("b"))
     labels = live.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id"))
     live = live.where("a <> b")
+    if not n:
+        return labels
     while n:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))
         hooks, moved = pointers.keep(hooks), 1
-        while moved:
-            over = hooks.select(F.col("id").alias("up"), F.col("up").alias("over"))
-            nxt = hooks.join(over, "up").select("id", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved"))
-            nxt, moved = pointers.keep_counting(nxt, F.col("moved"))
+        while moved:  # two doublings to a written table
+            nxt, moved = pointers.keep_counting(_doubled(_doubled(hooks)), F.col("moved"))
             hooks = nxt.select("id", "up")
         labels = labels.join(hooks.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
         labels = labelled.keep(labels)
@@ -37,9 +37,17 @@ def component_labels(links: DataFrame) -> DataFrame:
         b = hooks.select(F.col("id").alias("b"), F.col("up").alias("rb"))
         live = live.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         live, n = ends.keep_counting(live.distinct(), F.lit(True))
+    for rounds in (ends, pointers, labelled):
+        rounds.release(labels)
     return labels
 
 
+def _doubled(hooks: DataFrame) -> DataFrame:
+    """id, up, moved: each pointer replaced by its target's."""
+    over = hooks.select(F.col("id").alias("up"), F.col("up").alias("over"))
+    return hooks.join(over, "up").select("id", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved"))
+
+
 def weak_components(graph: Graph) -> DataFrame:
     """id, label of every vertex; an isolated vertex is its own."""
     found = component_labels(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))

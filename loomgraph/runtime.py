@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,26 +13,48 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test) a temporary folder becomes it.
+    Only where the session has none and runs in one process (a local test) a temporary folder becomes it; a cluster must name one, as
+    machines don't see each other's folders.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(path)
     return path
 
 
+_LEAVING: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. What is left in it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{spark.sparkContext.applicationId}"
+    if path not in _LEAVING:
+        _LEAVING.add(path)
+        at, store = _store(spark, path)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return path
+
+
+def _store(spark: SparkSession, path: str):
+    """The path and its file system, whichever store it is in, in Hadoop's terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes a folder."""
+    at, store = _store(spark, path)
+    store.delete(at, True)
 
 
 def written(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
@@ -39,7 +62,16 @@ def written(df: DataFrame, name: str = "table", path: str | None = None) -> Data
     spark = df.sparkSession
     path = path or scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave, once nothing reads them any more; other frames are left alone."""
+    for df in tables:
+        if df is not None and (path := df.__dict__.get("scratch_path")):
+            remove(df.sparkSession, path)
 
 
 class Rounds:
@@ -53,13 +85,21 @@ class Rounds:
         self.paths: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
-        self.paths.append(scratch(spark, "round"))
+        self.spark = df.sparkSession
+        self.paths.append(scratch(self.spark, "round"))
         out = written(df, path=self.paths[-1])
         if len(self.paths) > 2:
-            remove(spark, self.paths.pop(0))
+            remove(self.spark, self.paths.pop(0))
         return out
 
+    def release(self, last: DataFrame | None = None) -> None:
+        """Removes the tables that are left but ``last``."""
+        kept = last.__dict__.get("scratch_path") if last is not None else None
+        for path in self.paths:
+            if path != kept:
+                remove(self.spark, path)
+        self.paths = [x for x in self.paths if x == kept]
+
     def keep_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
         """``keep`` and how many rows satisfy the condition, counted by the job that writes them."""
         seen = Observation()
