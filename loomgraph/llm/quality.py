@@ -8,8 +8,9 @@ the usual defects are each seen by more than one rule; what one rule alone sees
 
 Only the number of documents by vote pattern reaches the driver: at most 3 to the number of rules, whatever the input.
 
-Rows: a null or empty text has no words; it fails the base rules, and votes nowhere. Repeated rows count each. An empty table
-gives an empty result.
+Rows: a null or empty text has no words; it fails the base rules, and votes nowhere. Repeated rows count each. Texts of any length are measured
+whole, and no rule looks at their length but the base rules' least number of words. A probability of just one half is kept, and a value that lies on a rule's bound abstains. An empty table
+gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,22 +33,26 @@ GOOD, ABSTAIN, BAD = 1, 0, -1
 MIN_WORDS, MAX_REPEATED = 10, 20
 #: ASCII characters that are neither letters, digits nor spaces.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: Pseudo-documents behind the starting rates, and EM's end.
-WEIGHT, ROUNDS, CLOSE = 50.0, 200, 1e-9
+#: Words of a block in which kinds of words are counted.
+BLOCK = 50
+#: Pseudo-documents behind the starting rates, the share of good ones among them, and EM's end.
+WEIGHT, GOOD_SHARE, ROUNDS, CLOSE = 50.0, 0.85, 200, 1e-9
 
 
-def repeated_words(words: list, size: int = 5) -> int:
-    """Words that lie in a window of ``size`` words which occurs twice or more, its first occurrence included."""
-    n = len(words)
-    if n <= size:
-        return 0
+def numbered(words: list) -> tuple[np.ndarray, int]:
+    """Each word as a number, equal ones alike, and how many there are."""
     seen: dict = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for w in words], dtype="int64")
-    if len(seen) == n:
+    return np.array([seen.setdefault(w, len(seen)) for w in words], dtype="int64"), len(seen)
+
+
+def repeated_words(ids: np.ndarray, kinds_n: int, size: int = 5) -> int:
+    """Words that lie in a window of ``size`` words which occurs twice or more, its first occurrence included."""
+    n = len(ids)
+    if n <= size or kinds_n == n:
         return 0
     key = ids
     for k in range(1, size):  # ids of the windows of k + 1 words, exact as they are numbered anew each time
-        key = key[:-1] * np.int64(len(seen)) + ids[k:]
+        key = key[:-1] * np.int64(kinds_n) + ids[k:]
         if k < size - 1:
             kinds, key = np.unique(key, return_inverse=True)
             if len(kinds) == len(key):
@@ -67,24 +72,35 @@ def repeated_words(words: list, size: int = 5) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def block_kinds(ids: np.ndarray) -> tuple[int, int]:
+    """The kinds of words in each block, added up, and the words of all blocks. A shorter last block counts only if it is the first."""
+    n = len(ids) // BLOCK * BLOCK or len(ids)
+    if not n:
+        return 0, 0
+    blocks = np.sort(ids[:n].reshape(-1, min(BLOCK, n)), axis=1)
+    return int((blocks[:, 1:] != blocks[:, :-1]).sum()) + len(blocks), n
+
+
 def measures(text: str | None) -> tuple[int, ...]:
     """The values of MEASURES."""
     raw = (text or "").encode()
     words = raw.split()
     among = lambda chars: len(raw) - len(raw.translate(None, chars))
     lines = [x for x in raw.split(b"\n") if x.split()] if b"\n" in raw else []
+    ids, n_kinds = numbered(words)
     distinct = set(words)
     bare = {w for w in distinct if len(w) < 4 and not any(c.isalnum() for c in w.decode())}
     n_bare = sum(map(bare.__contains__, words)) if bare else 0
     dup_lines, n_symbols = len(lines) - len(set(lines)), among(SYMBOLS)
     held = {w for w in distinct if len(w.translate(None, SYMBOLS)) < len(w)} if n_symbols else set()
     n_held = sum(map(held.__contains__, words)) if held else 0
-    return len(words), len(text or "") - among(SPACES), n_symbols, dup_lines, repeated_words(words), among(UPPER), among(LOWER), n_bare, len(distinct), n_held, among(MARKS)
+    base = len(words), len(text or "") - among(SPACES), n_symbols, dup_lines, repeated_words(ids, n_kinds)
+    return *base, among(UPPER), among(LOWER), n_bare, *block_kinds(ids), n_held, among(MARKS)
 
 
 #: Words, code points in words, symbols, lines equal to an earlier one, words in repeated windows, ASCII letters
-#: of either case, short words without letter or digit, distinct words, words that hold a symbol, ASCII marks.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_distinct", "n_symbol_words", "n_marks")
+#: of either case, short words without letter or digit, kinds of words in blocks and the words of these, words that hold a symbol, ASCII marks.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_block_kinds", "n_block_words", "n_symbol_words", "n_marks")
 
 
 def _measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +138,7 @@ def rules() -> list[Rule]:
         Rule("repetition", per_word("n_repeat_words"), 0.1, 0.2, some),
         Rule("capitals", F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)), 0.3, 0.5, some),
         Rule("bare_words", per_word("n_bare"), 0.05, 0.15, some),
-        Rule("few_kinds", 1 - per_word("n_distinct"), 0.7, 0.9, (n >= 50) & (n < 2000)),
+        Rule("few_kinds", 1 - F.col("n_block_kinds") / F.greatest(F.col("n_block_words"), F.lit(1)), 0.5, 0.7, some),
         Rule("long_words", F.col("word_chars") / F.greatest(n, F.lit(1)), 10.0, 15.0, some),
         Rule("symbol_words", per_word("n_symbol_words"), 0.1, 0.3, some),
         Rule("marks", F.col("n_marks") / F.greatest(F.col("word_chars"), F.lit(1)), 0.1, 0.2, some),
@@ -151,7 +167,7 @@ def expectation_maximisation(votes: np.ndarray, n: np.ndarray) -> QualityModel:
     """
     rules_n = votes.shape[1]
     belief = np.array([[[0.55, 0.45]] * rules_n, [[0.99, 0.01]] * rules_n])
-    model = QualityModel(0.85, belief.copy())
+    model = QualityModel(GOOD_SHARE, belief.copy())
     before = np.inf
     for _ in range(ROUNDS):
         z = model.log_odds(votes)
@@ -160,7 +176,7 @@ def expectation_maximisation(votes: np.ndarray, n: np.ndarray) -> QualityModel:
         ups, downs = weights @ (votes == GOOD), weights @ (votes == BAD)
         seen = (ups + downs + WEIGHT)[:, :, None]
         model.rates = (np.stack([ups, downs], axis=2) + WEIGHT * belief) / seen
-        model.prior = float(np.clip((weights[1].sum() + WEIGHT * 0.85) / (n.sum() + WEIGHT), 0.5, 0.99))
+        model.prior = float((weights[1].sum() + WEIGHT * GOOD_SHARE) / (n.sum() + WEIGHT))
         if abs(model.prior - before) < CLOSE:
             break
         before = model.prior
