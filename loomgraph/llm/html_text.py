@@ -2,15 +2,16 @@
 
 The pages of a host are merged by the paths of their elements. A path's content importance is high if its texts differ from page to page, and its
 presentation importance if its child sequences do (entropies over the pages, to the base of their number). Their mean weighs a
-branch; low ones are the host's template and are cut from each page. A host must have shown a branch often enough for that.
+branch, together with one imagined occurrence that differs from all: the fewer a host has shown, the less is known. Low branches are the host's template and are cut from each page.
 
 Elements whose name or role says what they are (menus, footers, forms), or that are hidden, are cut without counting. A whole word of a class or id
 that says so (adverts, comments) is evidence: its branch is cut unless that holds the page's article or most of its text, and parts of words only raise
 the importance below which the tree cuts. Where articles or main elements have a good part of a page's text, the text comes from inside them. The tree cuts
-there too, unless what it would cut is most of that text: pages with copied articles would else lose them.
+there too, unless what it would cut is most of that text: pages with copied articles would else lose them. Elsewhere a branch that carries most of a page stays for the same reason.
 
 Rows: a null or empty html gives the empty text; pages without a host share one tree. Broken markup is read as browsers do in the
-main: unclosed and crossed elements close with the ones around them, a cut-off tag is dropped. Rows repeat as given. An empty table gives an empty result.
+main: unclosed and crossed elements close with the ones around them, a cut-off tag is dropped. Pages of any length are read whole. Rows repeat as given, and count each in the tree. A branch of
+an importance just at the bound stays. An empty table gives an empty result. Only the three named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -25,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import named
-from loomgraph.runtime import written
+from loomgraph.runtime import discard, written
 
-#: A branch needs so many occurrences on a host, and an importance below this, to be cut.
-LEAST_SEEN, LOW = 8, 0.3
+#: Branches of an importance below this are cut.
+LOW = 0.3
 #: The same where a part of a class or id of the element or its parent tells of noise.
 SUSPECT = 0.6
 #: Articles with a smaller part of a page's text are not its main text.
 MAIN_SHARE = 1 / 3
 #: A marked branch that has most of a page's text stays beside an article if it has so many characters.
 LEAST_TEXT = 500
+#: A low branch outside articles that has a larger part of a page's text stays.
+CARRIES = 2 / 3
+#: Low paths of a host that are handed to its pages as one list; hosts with more have each page's own paths looked up.
+MOST_PATHS = 5_000
 #: The weight of presentation in the importance.
 PRESENTATION = 0.25
 
@@ -213,19 +218,28 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> list[str]:
         return []
     chars = lambda found: sum(len(x[3]) for x in found)
     blocks = [x for x in Walk(page).blocks if not x[1]]
-    main = [x for x in blocks if x[2]]
-    rest = [x for x in blocks if not x[2] and x[0] not in low and branch(x[0]) not in low]
-    if main and low:
+    main, rest = [x for x in blocks if x[2]], [x for x in blocks if not x[2]]
+    if low:
         own = [x for x in main if x[0] not in low or x[0].rpartition(">")[2].partition(".")[0] == "h1"]
         # what carries most of an article is a copied one
         if 2 * chars(own) > chars(main):
             main = own
+        size, most = Counter(), CARRIES * chars(blocks)
+        for x in rest:
+            for p in {x[0], branch(x[0])} & low:
+                size[p] += len(x[3])
+        rest = [x for x in rest if all(size[p] > most for p in {x[0], branch(x[0])} & low)]
     if main and chars(main) >= MAIN_SHARE * (chars(main) + chars(rest)):
         return [x[3] for x in main]
     kept = {id(x) for x in main + rest}
     return [x[3] for x in blocks if id(x) in kept]
 
 
+def own_paths(page: str | None) -> set[str]:
+    """The paths that ``main_text`` looks up for a page."""
+    return {p for path, _, main, _, _ in Walk(page or "").found for p in ({path} if main else {path, branch(path)})}
+
+
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
@@ -257,7 +271,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     joined = spread.groupBy("host", "path").agg(of("text", "total").alias("seen"), of("text", "entropy").alias("text"), of("style", "entropy").alias("style"))
     weighed = (1 - PRESENTATION) * F.col("text") + PRESENTATION * F.coalesce("style", "text")
-    return joined.where("seen IS NOT NULL").select("host", "path", "seen", weighed.alias("importance"))
+    seen = F.col("seen")
+    return joined.where("seen IS NOT NULL").select("host", "path", "seen", ((seen * weighed + 1) / (seen + 1)).alias("importance"))
 
 
 def _extracted(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -269,16 +284,31 @@ def _extracted(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return rows
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = {(h, k, p) for h, k, page in zip(f["host"], f["page"], f["html"], strict=True) for p in own_paths(page)}
+        yield pd.DataFrame(sorted(rows), columns=["host", "page", "path"])
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_paths: int = MOST_PATHS) -> DataFrame:
     """id, url, text, n_chars per row.
 
-    Low paths of a host are a list of template branches; the table of these lists is written first, so that its size decides whether it is
-    sent to all executors or joined by host.
+    The low paths of a host are handed to its pages as a list, if there are ``most_paths`` at most; that table is written first, so that its size decides whether it is
+    sent to all executors or joined by host. The pages of hosts with more look up just their own paths. The result is the same.
     """
     rows = named(pages, id=id_col, url=url_col, html=html_col)
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    low = style_tree(rows.select("host", "html")).where((F.col("seen") >= LEAST_SEEN) & (F.col("importance") < F.when(F.col("path").rlike(SUSPICIOUS), SUSPECT).otherwise(LOW)))
-    lists = written(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-paths")
-    kind = rows.schema["id"].dataType.simpleString()
+    bound = F.when(F.col("path").rlike(SUSPICIOUS), SUSPECT).otherwise(LOW)
+    low = written(style_tree(rows.select("host", "html")).where(F.col("importance") < bound).select("host", "path"), "low-paths")
+    large = written(low.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > most_paths).select("host"), "large-hosts")
+    lists = written(low.join(large, "host", "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-lists")
     joined = rows.join(lists, "host", "left").select("id", "url", "html", "low")
+    if not large.isEmpty():
+        keyed = rows.withColumn("page", F.sha2(F.coalesce("html", F.lit("")), 256))
+        few, many = keyed.join(large, "host", "left_anti"), keyed.join(large, "host", "left_semi")
+        own = many.select("host", "page", "html").mapInPandas(_own, "host string, page string, path string").distinct()
+        own = written(own.join(low, ["host", "path"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("path")).alias("low")), "page-paths")
+        joined = few.join(lists, "host", "left").select("id", "url", "html", "low").unionByName(many.join(own, ["host", "page"], "left").select("id", "url", "html", "low"))
+    discard(low)
+    kind = rows.schema["id"].dataType.simpleString()
     return joined.mapInPandas(_extracted(kind), f"id {kind}, url string, text string, n_chars long")
