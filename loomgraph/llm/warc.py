@@ -4,14 +4,20 @@ A record whose block is longer than SEGMENT is written as its first part and con
 the parts by the identifier of the first, orders them by segment number, checks their total length and the payload's digest, and
 decodes the chunked framing. Records in one part skip the grouping.
 
-Payloads of REVISIT_BYTES or more that are equal are stored once: the row with the least page id is the response, the others refer to it.
+Payloads of REVISIT_BYTES or more that are equal are stored once: the row with the least page id is the response, the others refer to it by its identifier.
+
+Archives of other writers are read too: plain or gzipped, with responses and revisits of any identifiers; other kinds of records are passed over. A payload is checked against its
+digest if that is by an algorithm that is known here. Page ids come from a field of their own, which other writers' records lack: these have null.
 
 Rows: a null html is an empty payload; a null url is written as an empty target. Repeated rows are records of their own with equal identifiers, and each
-comes back. A page without an id is written under an empty id and comes back with null. An empty table gives an empty archive. Only the three named columns are read.
+comes back. A page without an id is written without one and comes back with null. Payloads of any length are written and read whole. Of equal payloads with equal least ids, each is a
+response. An empty table gives an empty archive. Only the three named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -27,19 +33,28 @@ CHUNK = 8 * 1024
 #: Payloads up to this are sent with a length, longer ones chunked.
 PLAIN = 4 * 1024
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 8_000
+RECORDS_PER_FILE = 2_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+#: The field of a page's id in archives that are written here.
+PAGE = "Loomgraph-Page-ID"
+#: Digests that can be checked, by the names that archives give them.
+ALGORITHMS = {"sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha512": hashlib.sha512, "sha-512": hashlib.sha512, "md5": hashlib.md5}
 
 
 def record_id(page: object, digest: str) -> str:
     return f"<urn:page:{'' if page is None or page != page else int(page)}:{digest}>"
 
 
-def page_of(record: str) -> int | None:
-    text = record.split(":")[2]
-    return int(text) if text else None
+def differs(payload: bytes, digest: str) -> str | None:
+    """What a payload's digest is, if a field ``algorithm:value``, in hex or base 32, says something else; None too if the algorithm is unknown."""
+    name, _, value = digest.partition(":")
+    if not value or (make := ALGORITHMS.get(name.lower())) is None:
+        return None
+    raw = make(payload).digest()
+    told = value.strip().lower()
+    return None if told in (raw.hex(), base64.b32encode(raw).decode().lower(), base64.b32encode(raw).decode().rstrip("=").lower()) else raw.hex()
 
 
 def framed(payload: bytes) -> bytes:
@@ -91,6 +106,7 @@ def records(page: object, url: str | None, payload: bytes, digest: str, first: o
     """The records of one page; ``first`` is the page that it refers to, or its own id."""
     own = record_id(page, digest)
     common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", (url or "").replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+    common += [] if page is None else [(PAGE, int(page))]
     if record_id(first, digest) != own:
         head = framed(payload).partition(END)[0] + END
         yield _record([("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest)), *common], head)
@@ -139,7 +155,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 def parse(content: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
     """Fields and block of the records of a file, one after another by their lengths."""
     at = 0
-    while at < len(content):
+    while True:
+        while content[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(content):
+            return
         end = content.index(END, at)
         lines = content[at:end].split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
@@ -150,20 +170,23 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
         if len(block) != size:
             raise ValueError(f"the record at byte {at} is cut short")
         yield fields, block
-        at = end + 4 + size + 4
+        at = end + 4 + size
 
 
-_RECORD = "page_id long, url string, record string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_RECORD = "page_id long, url string, record string, record_type string, refers string, payload_bytes long, payload_digest string, payload binary"
 _PART = ", origin string, number int, total long, block binary"
 _NAMES = [x.split()[0] for x in (_RECORD + _PART).split(", ")]
 
 
-def _whole(record: str, url: str | None, digest: str, message: bytes, keep: bool) -> tuple:
-    payload = unframed(message)
-    found = hashlib.sha256(payload).hexdigest()
-    if found != digest:
+def _whole(page: int | None, record: str, url: str | None, digest: str, message: bytes, http: bool, keep: bool) -> tuple:
+    payload = unframed(message) if http else message
+    if found := differs(payload, digest):
         raise ValueError(f"{record}: the payload has digest {found}")
-    return (page_of(record), url, record, "response", None, len(payload), found, payload if keep else None)
+    return (page, url, record, "response", None, len(payload), hashlib.sha256(payload).hexdigest(), payload if keep else None)
+
+
+def _is_http(fields: dict[str, str], block: bytes) -> bool:
+    return fields.get("content-type", "application/http").lower().startswith("application/http") and block[:5] == b"HTTP/"
 
 
 def _read(keep: bool):
@@ -171,19 +194,22 @@ def _read(keep: bool):
         for f in frames:
             for content in f["content"]:
                 out, size = [], 0
-                for fields, block in parse(bytes(content)):
-                    text = {k: v.decode() for k, v in fields.items()}
-                    record, url = text["warc-record-id"], text.get("warc-target-uri")
-                    digest = text.get("warc-payload-digest", "").removeprefix("sha256:")
-                    if text["warc-type"] == "revisit":
-                        out.append((page_of(record), url, record, "revisit", page_of(text["warc-refers-to"]), None, digest, None, None, None, None, None))
-                    elif "warc-segment-number" in text:
+                content = bytes(content)
+                for fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                    text = {k: v.decode("utf-8", "replace") for k, v in fields.items()}
+                    record, url, kind = text.get("warc-record-id", ""), text.get("warc-target-uri"), text.get("warc-type", "").lower()
+                    digest, page = text.get("warc-payload-digest", ""), text.get(PAGE.lower())
+                    page = int(page) if page else None
+                    if kind == "revisit":
+                        told = digest.partition(":")[2].lower() if digest.lower().startswith(("sha256:", "sha-256:")) else None
+                        out.append((page, url, record, "revisit", text.get("warc-refers-to"), None, told, None, None, None, None, None))
+                    elif kind == "continuation" or (kind == "response" and "warc-segment-number" in text):
                         total = text.get("warc-segment-total-length")
                         origin = text.get("warc-segment-origin-id", record)
-                        out.append((page_of(record), url, record, None, None, None, digest, None, origin, int(text["warc-segment-number"]), int(total) if total else None, block))
+                        out.append((page, url, record, None, None, None, digest, None, origin, int(text["warc-segment-number"]), int(total) if total else None, block))
                         size += len(block)
-                    else:
-                        out.append(_whole(record, url, digest, block, keep) + (None,) * 4)
+                    elif kind == "response":
+                        out.append(_whole(page, record, url, digest, block, _is_http(text, block), keep) + (None,) * 4)
                         size += len(block) * keep
                     if size > 16 << 20:
                         yield _frame(out, _NAMES)
@@ -195,42 +221,51 @@ def _read(keep: bool):
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names, dtype=object)
-    for c in ("page_id", "refers_to", "payload_bytes", "number", "total"):
+    for c in ("page_id", "payload_bytes", "number", "total"):
         if c in out:
             out[c] = out[c].astype("Int64")
     return out
 
 
 def _reassembled(keep: bool):
+    """The record of one origin's parts, each of which is there once, and how often the first one was."""
+
     def rows(f: pd.DataFrame) -> pd.DataFrame:
-        parts = f.sort_values("number").drop_duplicates("number")
+        parts = f.sort_values("number")
         message = b"".join(parts["block"])
         total = parts["total"].dropna()
         if list(parts["number"]) != list(range(1, len(parts) + 1)) or not len(total) or int(total.iloc[0]) != len(message):
             raise ValueError(f"{f['origin'].iloc[0]}: segments are missing")
         first = parts.iloc[0]
-        row = _whole(first["record"], first["url"], first["payload_digest"], message, keep)
-        return _frame([row] * int((f["number"] == 1).sum()), _NAMES[:8])
+        page = None if pd.isna(first["page_id"]) else int(first["page_id"])
+        row = _whole(page, first["record"], first["url"], first["digest"], message, message[:5] == b"HTTP/", keep)
+        return _frame([row], _NAMES[:8]).assign(copies=int(first["copies"]))
 
     return rows
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and, with ``payloads``, payload per page.
+    """page_id, url, record, record_type, refers_to (the page of the record that a revisit refers to), payload_bytes, payload_digest (SHA-256 in hex) and, with
+    ``payloads``, payload per response or revisit.
 
-    Files are read by Spark, one task each as a rule; a file has RECORDS_PER_FILE records at most. A revisit gets its size and payload from the
-    response that it refers to, by a join that the engine may split where one response has many revisits.
+    Files are read by Spark, one task each as a rule; a file that is written here has RECORDS_PER_FILE records at most. Equal parts of equal records are brought to one before they are
+    grouped, so a group is one record, however often it is there. A revisit gets its size, digest and payload from the
+    response that it refers to, by a join that the engine may split where one response has many revisits; they are null if that is not in the archive.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     table = written(files.mapInPandas(_read(payloads), _RECORD + _PART), "records")
     names = _NAMES[:8]
-    parts = table.where("origin IS NOT NULL").groupBy("origin").applyInPandas(_reassembled(payloads), _RECORD)
-    found = table.where("origin IS NULL").select(*names).unionByName(parts)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("page_id", "url", "record")]
+    parts = table.where("origin IS NOT NULL").groupBy("origin", "number").agg(*first, F.first("payload_digest").alias("digest"), F.max("total").alias("total"), F.first("block").alias("block"), F.count("*").alias("copies"))
+    whole = parts.groupBy("origin").applyInPandas(_reassembled(payloads), f"{_RECORD}, copies long")
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    found = table.where("origin IS NULL").select(*names).unionByName(whole)
     responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'")
-    asked = revisits.select("refers_to", "payload_digest").distinct()
-    known = responses.select("page_id", "payload_digest", "payload_bytes", "payload").join(asked, (F.col("page_id") == asked["refers_to"]) & (responses["payload_digest"] == asked["payload_digest"]), "left_semi")
-    known = known.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload").alias("payload"))
+    asked = revisits.select("refers").distinct()
+    known = responses.select(F.col("record").alias("refers"), "page_id", "payload_bytes", "payload_digest", "payload").join(asked, "refers", "left_semi")
+    known = known.groupBy("refers").agg(F.first("page_id").alias("refers_to"), *[F.first(c).alias(f"known_{c}") for c in ("payload_bytes", "payload_digest", "payload")])
     known = written(known, "referred")  # a plain table: the engine may split the revisits of one response
-    back = revisits.drop("payload_bytes", "payload").join(known, ["refers_to", "payload_digest"], "left")
-    out = responses.unionByName(back.select(*names)).drop("record")
+    back = revisits.drop("payload_bytes", "payload").join(known, "refers", "left")
+    back = back.select("page_id", "url", "record", "record_type", "refers_to", F.col("known_payload_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "known_payload_digest").alias("payload_digest"), F.col("known_payload").alias("payload"))
+    out = responses.withColumn("refers_to", F.lit(None).cast("long")).select(*back.columns).unionByName(back)
     return out if payloads else out.drop("payload")
