@@ -127,10 +127,10 @@ CASE WHEN first = page_id THEN NULL ELSE first END::BIGINT AS refers_to FROM f
 def _canonical_sql(text: str) -> str:
     quoted = lambda x: x.replace("'", "''")
     plain = f"regexp_replace(lower({text}), '{quoted(licenses.COPYRIGHT)}', ' ', 'g')"
-    plain = f"concat(' ', trim(regexp_replace({plain}, '{licenses.NOT_WORD}', ' ', 'g')), ' ')"
+    plain = f"concat(' ', trim(regexp_replace({plain}, '{licenses.NOT_WORD}', '  ', 'g')), ' ')"
     for old, new in licenses.SPELLINGS:
-        plain = f"replace({plain}, ' {old} ', ' {new} ')"
-    return f"trim({plain})"
+        plain = f"replace({plain}, '{licenses.spaced(old)}', '{licenses.spaced(new)}')"
+    return f"trim(replace({plain}, '  ', ' '))"
 
 
 def _license_sql() -> str:
@@ -139,7 +139,7 @@ def _license_sql() -> str:
 WITH r(license, text) AS (VALUES {rows}),
 k AS MATERIALIZED (SELECT sha256({_canonical_sql("text")}) d, min(license) license FROM r GROUP BY 1),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line FROM documents),
-m AS MATERIALIZED (SELECT doc_id, k.license FROM (SELECT doc_id, sha256({_canonical_sql("line")}) d FROM l WHERE regexp_matches(line, '{licenses.NOTICE_WORD}')) x JOIN k ON k.d = x.d),
+m AS MATERIALIZED (SELECT doc_id, k.license FROM (SELECT doc_id, sha256({_canonical_sql("line")}) d FROM l) x JOIN k ON k.d = x.d),
 g AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) notices, count(*) n FROM m GROUP BY 1)
 SELECT t.doc_id, k.license AS license, coalesce(g.notices, '') AS notices, coalesce(g.n, 0)::BIGINT AS n_notice_lines
 FROM documents t LEFT JOIN k ON k.d = sha256({_canonical_sql("coalesce(t.text, '')")}) LEFT JOIN g ON g.doc_id = t.doc_id

@@ -4,7 +4,8 @@ A text is brought to a canonical form: lower case, copyright lines dropped, equi
 made a space. The digest of the whole form is looked up among those of known licence texts; the same look-up on each line finds
 one-line notices inside longer texts. The table of known forms is part of this module and its folder of texts, so its size is fixed.
 
-Rows: null and empty texts have no licence. A row's answer depends on its text only, so repeated rows repeat it. An empty table gives an empty result.
+Rows: null and empty texts have no licence. A row's answer depends on its text only, so repeated rows repeat it. Texts of any length are looked up whole, and every line of
+them. Where two licences have one canonical form, the name that sorts first is given. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -78,17 +79,19 @@ SPELLINGS = [
 ]
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|all rights reserved|©|\(c\))[^\n]*$"
 NOT_WORD = r"[^a-z0-9]+"
-#: The SQL's screen of lines, on the raw text. It misses spellings that only become a known form ("Released under ..."), so the scan has none.
-NOTICE_WORD = r"(?i)licen[sc]e|public domain"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form: words with single spaces between."""
+    """The canonical form: words with single spaces between. Between them are two while spellings are replaced, so that each word has spaces of its own."""
     plain = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, NOT_WORD, " ")), F.lit(" "))
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, NOT_WORD, "  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(plain)
+        plain = F.replace(plain, F.lit(spaced(old)), F.lit(spaced(new)))
+    return F.trim(F.replace(plain, F.lit("  "), F.lit(" ")))
+
+
+def spaced(spelling: str) -> str:
+    return f" {spelling.replace(' ', '  ')} "
 
 
 def digest(text: Column) -> Column:
