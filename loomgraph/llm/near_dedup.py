@@ -13,8 +13,8 @@ ones; these texts are joined by the rarest parts of their sets, without loss. Pa
 tables; no task or driver holds a component.
 
 Rows: a null or empty text, or one of white space, has no shingles and is alone; a text of fewer words than a shingle is one
-shingle. Equal rows, also with equal ids, are copies of each other. Null ids are never a component's id. An empty table gives an
-empty result.
+shingle. Equal rows, also with equal ids, are copies of each other. Null ids are never a component's id. Texts of any length are compared whole. Of ties for a
+bucket's pivot the least node number wins, which changes no result. An empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import GOLDEN, LOWER, mix, named
 from loomgraph.plans.components import component_labels
-from loomgraph.runtime import written
+from loomgraph.runtime import discard, written
 
 SHINGLE, BANDS, ROWS = 5, 60, 5
 SLOTS = BANDS * ROWS
 PERCENT = 75
-#: Pivot rounds end once all pairs of open members would be this many times their number at most.
-FEW = 4
+#: Pivot rounds end once all pairs of open members would be this many times their number at most, or a round closes less than this part of them.
+FEW, LITTLE = 4, 0.1
 #: Shingles whose permutations are held at once: 2 * SLOTS bytes each.
 CHUNK = 40_000
 
@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = wanted.join(rows.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "text"), F.col("key").eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     sets = written(texts.select("node", "text").mapInPandas(_shingled, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     labels = _grouped(members, sets)
+    discard(sizes, shared, members, sets)
 
     owned = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
     first = written(owned.groupBy("label").agg(F.min("least").alias("component_id")), "first")
@@ -184,7 +185,9 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     placed = members.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed = written(mixed, "mixed-buckets")
-    return written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    out = written(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    discard(mixed)
+    return out
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -195,12 +198,13 @@ def _grouped(members: DataFrame, sets: DataFrame) -> DataFrame:
     """id, label of the linked nodes of ``members(bucket, node, met, n)``; met: how many others a node meets in its buckets.
 
     A round holds each bucket's members against one pivot, the one that meets most others: the text that copies were made
-    from, as a rule, if it is there. Rounds end once one finds no link, or few pairs are open. What is open then is joined exactly.
+    from, as a rule, if it is there. Rounds end once one finds no link or closes few members, or few pairs are open; so their number has a bound. What is open
+    then is joined exactly. Between rounds the links so far are one table, of each node with its component's least.
     """
     open_members = members.withColumn("label", F.col("node"))
     spent: DataFrame | None = None
-    links: DataFrame | None = None
-    labels = members.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
+    labels: DataFrame | None = None
+    n_open: int | None = None
     while True:
         free = open_members if spent is None else open_members.join(spent, ["bucket", "node"], "left_anti")
         pivot = free.groupBy("bucket").agg(F.max(F.struct("met", F.negative("node").alias("least"), "node", "n", "label")).alias("p"))
@@ -209,24 +213,38 @@ def _grouped(members: DataFrame, sets: DataFrame) -> DataFrame:
         compared = _compared(asked.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets)
         found = written(compared.where(_linked()).select("a", "b"), "links")
         used = pivot.select("bucket", F.col("pivot").alias("node"))
-        spent = used if spent is None else spent.unionByName(used)
+        before, spent = spent, written(used if spent is None else spent.unionByName(used), "spent")
+        discard(before, pivot)
         if found.isEmpty():
+            discard(found)
             break
-        links = found if links is None else links.unionByName(found)
-        labels = component_labels(links)
-        open_members = _mixed(members, labels)
+        before, labels = labels, _joined(labels, found)
+        discard(before, found)
+        before, open_members = open_members, _mixed(members, labels)
+        discard(before)
         sizes = open_members.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not sizes.rows or sizes.pairs <= FEW * sizes.rows:
+        n_before, n_open = n_open, int(sizes.rows or 0)
+        if not n_open or sizes.pairs <= FEW * n_open or (n_before is not None and n_open > (1 - LITTLE) * n_before):
             break
     nodes = written(open_members.select("node", "label", "n").distinct(), "open")
-    rest = written(_compared(_prefix_pairs(nodes, sets), sets).where(_linked()).select("a", "b"), "links")
-    if rest.isEmpty():
-        return labels
-    return component_labels(rest if links is None else links.unionByName(rest))
+    pairs, prefixes = _prefix_pairs(nodes, sets)
+    rest = written(_compared(pairs, sets).where(_linked()).select("a", "b"), "links")
+    discard(nodes, open_members, spent, prefixes)
+    if labels is None or not rest.isEmpty():
+        before, labels = labels, _joined(labels, rest)
+        discard(before)
+    discard(rest)
+    return labels
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """id, label of all nodes that were labelled or are linked."""
+    links = links if labels is None else labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links)
+    return component_labels(links)
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: pairs of ``nodes(node, label, n)`` with different labels that may be similar enough; none is missed.
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, and the written table that they are read from: pairs of ``nodes(node, label, n)`` with different labels that may be similar enough; none is missed.
 
     Each set's shingles are ordered from rare to common. Similar sets share one of the first n - 0.75 n + 1, so only these are joined, under
     the bounds that sizes and places put on what is shared. A passage that many texts have is common, so it comes last and
@@ -242,4 +260,4 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "n", "left")]) for k in "ab")
     enough = (100 + PERCENT) * F.least("left_a", "left_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
     pairs = one.join(two, "shingle").where((F.col("label_a") < F.col("label_b")) & _sizes_fit("n_a", "n_b") & enough)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), first
