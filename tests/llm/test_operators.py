@@ -379,9 +379,60 @@ def test_framing_and_damage():
     import pandas as pd
 
     block = warc.framed(b"q" * 90_000)
-    rows = [(1, "u", "<urn:page:1:x>", None, None, None, hashlib.sha256(b"q" * 90_000).hexdigest(), None, "o", k + 1, None, block[at : at + 40_000]) for k, at in enumerate(range(0, len(block), 40_000))]
+    told = "sha256:" + hashlib.sha256(b"q" * 90_000).hexdigest()
+    rows = [("o", k + 1, 1, "u", "<urn:page:1:x>", told, None, block[at : at + 40_000], 1) for k, at in enumerate(range(0, len(block), 40_000))]
+    names = ["origin", "number", "page_id", "url", "record", "digest", "total", "block", "copies"]
     with pytest.raises(ValueError, match="segments are missing"):
-        warc._reassembled(True)(pd.DataFrame(rows[:-1], columns=warc._NAMES))
+        warc._reassembled(True)(pd.DataFrame(rows[:-1], columns=names))
+    rows[-1] = (*rows[-1][:6], len(block), *rows[-1][7:])
+    assert warc._reassembled(True)(pd.DataFrame(rows[::-1], columns=names))["payload"][0] == b"q" * 90_000
+    rows[0] = (*rows[0][:5], "sha256:" + "0" * 64, *rows[0][6:])
+    with pytest.raises(ValueError, match="digest"):
+        warc._reassembled(True)(pd.DataFrame([(*r[:5], rows[0][5], *r[6:]) for r in rows], columns=names))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Other kinds of records, other digests and identifiers, gzipped members, segments out of order, a revisit of a record that is elsewhere."""
+    import base64
+    import gzip
+
+    def rec(kind, rid, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": rid, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(block)}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = lambda body: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=y\r\nlong\r\n6\r\n  body\r\n0\r\nTrailer: t\r\n\r\n"
+    plain = [
+        rec("warcinfo", "<urn:uuid:0>", b"software: x\r\n", Content_Type="application/warc-fields"),
+        rec("request", "<urn:uuid:r>", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        rec("response", "<urn:uuid:1>", http(b"one"), WARC_Target_URI="http://a/", WARC_Payload_Digest=sha1, Content_Type="application/http; msgtype=response"),
+        rec("revisit", "<urn:uuid:2>", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Target_URI="http://b/", WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest=sha1),
+        rec("revisit", "<urn:uuid:3>", b"", WARC_Refers_To="<urn:uuid:nowhere>"),
+        rec("continuation", "<urn:uuid:5>", chunked[50:], WARC_Segment_Origin_ID="<urn:uuid:4>", WARC_Segment_Number=2, WARC_Segment_Total_Length=len(chunked)),
+        rec("metadata", "<urn:uuid:m>", b"x"),
+    ]
+    zipped = [rec("response", "<urn:uuid:4>", chunked[:50], WARC_Segment_Number=1, WARC_Payload_Digest="blake9:zz"), rec("response", "<urn:uuid:6>", b"bare", Content_Type="text/plain")]
+    (tmp_path / "a.warc").write_bytes(b"".join(plain))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in zipped))
+    out = {r.record[-2]: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert {k: (r.record_type, r.payload and bytes(r.payload), r.url) for k, r in out.items()} == {
+        "1": ("response", b"one", "http://a/"), "2": ("revisit", b"one", "http://b/"), "3": ("revisit", None, None), "4": ("response", b"long  body", None), "6": ("response", b"bare", None),
+    }
+    assert out["2"].payload_digest == out["1"].payload_digest == hashlib.sha256(b"one").hexdigest() and out["1"].page_id is None
+    (tmp_path / "a.warc").write_bytes(rec("response", "<urn:uuid:1>", http(b"two"), WARC_Payload_Digest=sha1))
+    (tmp_path / "b.warc.gz").unlink()
+    with pytest.raises(Exception, match="the payload has digest"):
+        warc.read_archive(spark, str(tmp_path))
+
+
+def test_pages_with_clashing_columns(spark, tmp_path):
+    names = "page_id long, url string, html string, page int, record string, host string, low string, `a.b` string, digest int"
+    rows = [(k, f"http://a.example/{k}", page(f"<article><p>{'text ' * (10 + k)}</p></article>"), 1, "r", "h", "l", "x", 2) for k in range(3)]
+    pages = spark.createDataFrame(rows, names)
+    warc.write_archive(pages, str(tmp_path / "a"))
+    assert got(warc.read_archive(spark, str(tmp_path / "a")), "page_id", "url") == [(r[0], r[1]) for r in rows]
+    assert got(html_text.extract_text(pages), "id", "text") == [(k, ("text " * (10 + k)).strip()) for k in range(3)]
 
 
 # op6
@@ -411,6 +462,32 @@ def test_notices_in_words_of_equivalent_spellings(spark):
     assert out == [*[(k, x, x, 1) for k, x in enumerate(names)], (4, None, "CC-BY-4.0,CC-BY-NC-4.0,GPL-3.0", 4)]
 
 
+def test_canonical_form_of_adjacent_spellings(spark):
+    texts = ["licence licence a", "Released under released under licence licenced", "GNU  GPL gnu-gpl version\nversion"]
+    out = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(licenses.canonical(F.col("text"))).collect()]
+    assert out == ["license license a", "licensed under licensed under license licensed", "gnu general public license gnu general public license v v"]
+
+
+def test_canonical_forms_match_brute_force(spark):
+    def brute(t):
+        lines = [x for x in t.lower().split("\n") if not re.fullmatch(licenses.COPYRIGHT.removeprefix("(?m)^").removesuffix("$"), x)]
+        words = re.findall("[a-z0-9]+", "\n".join(lines))
+        for old, new in licenses.SPELLINGS:
+            o, n, out, k = old.split(), new.split(), [], 0
+            while k < len(words):
+                hit = words[k : k + len(o)] == o
+                out += n if hit else words[k : k + 1]
+                k += len(o) if hit else 1
+            words = out
+        return " ".join(words)
+
+    rnd = random.Random(13)
+    parts = ["licence", "Licenced", "released", "under", "creative commons", "attribution", "sharealike", "non", "commercial", "version", "gnu", "gpl", ",", "\n", "x1", "Copyright 2020 A", "(c) all rights reserved", "non-infringement", "sub license"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice([" ", "  ", "\n", "-"]) for _ in range(rnd.randint(1, 25))) for _ in range(200)] + [licenses.MIT, licenses.ISC]
+    out = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(licenses.canonical(F.col("text"))).collect()]
+    assert out == [brute(t) for t in texts]
+
+
 def test_whole_licences(spark):
     folder = Path(licenses.__file__).parent / "license_texts"
     names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"]
@@ -468,6 +545,76 @@ def test_the_tree_cuts_inside_articles_and_leaves_copies(spark):
     assert {out[k + 100] for k in range(20)} == {"Same title\n\nA copied article with its own words"}
 
 
+def brute_tree(rows):
+    """host, path to seen and importance, by loops over the pages."""
+    import math
+
+    texts, styles = collections.defaultdict(list), collections.defaultdict(list)
+    for host, html_ in rows:
+        walk = html_text.Walk(html_ or "")
+        for path, _, main, _, text in walk.found:
+            for p in {path} if main else {path, html_text.branch(path)}:
+                texts[host, p].append(text)
+        for path, children in walk.styles:
+            styles[host, path].append(children)
+
+    def entropy(found):
+        n = len(found)
+        return 1.0 if n == 1 else -sum(k / n * math.log(k / n) for k in collections.Counter(found).values()) / math.log(n)
+
+    out = {}
+    for key, found in texts.items():
+        content = entropy(found)
+        mean = 0.75 * content + 0.25 * (entropy(styles[key]) if key in styles else content)
+        out[key] = (len(found), round((len(found) * mean + 1) / (len(found) + 1), 9))
+    return out
+
+
+def small_hosts():
+    rnd = random.Random(14)
+    rows = []
+    for k in range(40):
+        own = f'<div class="box"><p>Welcome</p></div><div class="text">{"".join(f"<p>{made_up(rnd, LANGS["aa"], 4)}</p>" for _ in range(rnd.randint(1, 3)))}</div><div class="foot"><p>{rnd.choice(["x", "y"])}</p></div>'
+        rows.append((f"{'abc'[k % 3]}.example", page(rnd.choice(["{}", "<main>{}</main>"]).format(own))))
+    return [*rows, ("d.example", ""), ("d.example", None), ("e.example", "<p>once</p>")]
+
+
+def test_style_tree_matches_brute_force(spark):
+    rows = small_hosts()
+    out = html_text.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert {(r.host, r.path): (r.seen, round(r.importance, 9)) for r in out} == brute_tree(rows)
+
+
+def test_the_tree_decides_and_needs_no_fixed_number_of_pages(spark):
+    """Without the tree the template stays; with it three pages are enough, and two are not."""
+    body = lambda k: f'<div class="box"><p>Welcome to our site</p></div><div class="text"><p>story {k} {"x" * (k + 5)} of this one day</p></div>'
+    rows = [(k, f"http://{h}.example/{k}", page(body(k))) for h, n in (("a", 3), ("b", 2)) for k in range(n)]
+    out = html_text.extract_text(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "page_id long, url string, html string"))
+    texts = [r.text for r in out.orderBy("id").collect()]
+    story = lambda k: f"story {k} {'x' * (k + 5)} of this one day"
+    assert texts == [*map(story, range(3)), *(f"Welcome to our site\n\n{story(k)}" for k in range(2))]
+    assert html_text.main_text(rows[0][2]) == ["Welcome to our site", story(0)]
+
+
+def test_hosts_with_many_low_paths_look_up_their_own(spark):
+    rows = [(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(small_hosts())] + [(k + 100, f"http://a.example/{k}", None) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = got(html_text.extract_text(pages), "id", "text")
+    assert got(html_text.extract_text(pages, most_paths=0), "id", "text") == want
+    assert any("Welcome" not in t and t for _, t in want)
+
+
+def test_copied_pages_keep_their_text(spark):
+    rows = [(k, f"http://a.example/{k}", page('<div class="text"><h1>Title</h1><p>A long copied text in plain divs</p><p>and more of it</p></div>')) for k in range(12)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("A long copied text in plain divs\n\nand more of it" in r.text for r in out)
+
+
+def test_a_very_long_page():
+    paragraphs = [f"Paragraph {k} of a long page" for k in range(30_000)]
+    assert html_text.main_text(page("<article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article>")) == paragraphs
+
+
 def test_cards_and_comments_are_not_the_article():
     body = "<div><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of a body in plain divs</p>" for k in range(5)) + "</div>"
     want = ["Title", *(f"Paragraph {k} of a body in plain divs" for k in range(5))]
@@ -538,6 +685,84 @@ def test_a_lone_bad_vote_does_not_decide(spark):
     assert all(kept[:465]) and not any(kept[465:])
 
 
+def brute_verdicts(texts):
+    """Votes and expectation-maximisation by loops over documents, not patterns."""
+    import math
+
+    def votes(t):
+        w, n_words, chars = t.split(" ") if t else [], *brute_measures(t)[:2]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n_symbols, n_repeat = brute_measures(t)[2], brute_measures(t)[4]
+        if n_words < 10:
+            return [0] * 8
+        upper, lower = (sum(c in quality.UPPER.decode() for c in t), sum(c in quality.LOWER.decode() for c in t))
+        cut = n_words // 50 * 50 or n_words
+        kinds = sum(len(set(w[k : min(cut, k + 50)])) for k in range(0, cut, 50))
+        marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t)
+        found = [
+            (n_symbols / n_words, 0.1, 0.5), (n_repeat / n_words, 0.1, 0.2), (upper / max(1, upper + lower), 0.3, 0.5), (sum(len(x.encode()) < 4 and not any(c.isalnum() for c in x) for x in w) / n_words, 0.05, 0.15),
+            (1 - kinds / cut, 0.5, 0.7), (chars / n_words, 10, 15), (sum(bool(set(x) & set("#*$%&|<>")) for x in w) / n_words, 0.1, 0.3), (marks / max(1, chars), 0.1, 0.2),
+        ]
+        return [1 if v < good else -1 if v > bad else 0 for v, good, bad in found]
+
+    every = [votes(t or "") for t in texts]
+    start = {"good": (0.99, 0.01), "bad": (0.55, 0.45)}
+    rates, prior = {c: [start[c]] * 8 for c in start}, 0.85
+
+    def chance(v):
+        odds = math.log(prior / (1 - prior))
+        for k, x in enumerate(v):
+            if x:
+                odds += math.log(rates["good"][k][x < 0] / rates["bad"][k][x < 0])
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(200):
+        z = [chance(v) for v in every]
+        for c in start:
+            weight = z if c == "good" else [1 - x for x in z]
+            new = []
+            for k in range(8):
+                up, down = (sum(x for x, v in zip(weight, every, strict=True) if v[k] == s) for s in (1, -1))
+                new.append(tuple((y + 50 * b) / (up + down + 50) for y, b in zip((up, down), start[c], strict=True)))
+            rates[c] = new
+        prior, before = (sum(z) + 50 * 0.85) / (len(z) + 50), prior
+        if abs(prior - before) < 1e-9:
+            break
+    return [(not (len((t or "").split()) < 10 or 100 * brute_measures(t or "")[4] > 20 * len((t or "").split())) and chance(v) >= 0.5, chance(v)) for t, v in zip(texts, every, strict=True)]
+
+
+def test_verdicts_match_brute_force(spark):
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice(["ka", "to", "mi", "ru", "sel", "por"]) for _ in range(rnd.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rnd.randint(1, 150))) for _ in range(120)]
+    for make in (lambda: word() + "***", lambda: word().upper(), lambda: "|", lambda: word() * 4, lambda: "ka", lambda: word() + ".,"):
+        texts += [" ".join(make() if rnd.random() < rnd.choice([0.2, 0.6, 1.0]) else word() for _ in range(rnd.randint(8, 120))) for _ in range(8)]
+    texts += [None, "", texts[3], texts[3]]
+    out = quality.judge_quality(docs(spark, texts)).orderBy("id").collect()
+    want = brute_verdicts(texts)
+    assert [r.kept for r in out] == [k for k, _ in want]
+    assert [r.quality for r in out] == pytest.approx([p for _, p in want], abs=1e-6)
+    assert 0 < sum(r.kept for r in out) < len(texts)
+
+
+def test_few_kinds_of_words_are_seen_at_any_length(spark):
+    rnd = random.Random(16)
+    kinds = [f"ka{k}" for k in range(6)]
+    texts = [" ".join(rnd.choice(x) for _ in range(n)) for x in (kinds, [f"to{k}" for k in range(400)]) for n in (60, 1_999, 2_000, 20_000)]
+    (rule,) = [r for r in quality.rules() if r.name == "few_kinds"]
+    votes = [r[0] for r in quality.measured(docs(spark, texts)).orderBy("id").select(rule.vote()).collect()]
+    assert votes == [quality.BAD] * 4 + [quality.GOOD] * 4
+
+
+def test_one_bad_vote_lies_on_both_sides():
+    """With good votes of rules that are seldom wrong it is a rule's error; with silence around it, it is not."""
+    junk, alone, other, among = [-1, -1, 0, 0, 0, 0, 0, 0], [-1, 0, 0, 0, 0, 0, 0, 0], [0, -1, 0, 0, 0, 0, 0, 0], [-1, 1, 1, 1, 1, 1, 1, 1]
+    votes = np.array([[1] * 8, junk, alone, other, among, [-1, 1, 1, 0, 0, 0, 0, 0]])
+    model = quality.expectation_maximisation(votes, np.array([8000.0, 600, 60, 60, 100, 0]))
+    z = model.log_odds(votes)
+    assert z[0] > 0 and z[1] < z[2] < 0 and z[3] < 0 < z[4] and z[2] < z[5] < z[4]
+
+
 def test_rates_of_good_documents_are_estimated():
     patterns = np.array([[1] * 8, [-1, 1, 1, 1, 1, 1, -1, -1], [0, 1, 1, -1, 1, 1, -1, 0]])
     for lone in range(8):
