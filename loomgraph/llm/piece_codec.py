@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from loomgraph.llm.common import Memo, held, named
 
 SPACE = "▁"
-#: Bytes of what a worker remembers: ids of parts after a space, of parts at line starts, and whether pairs of pieces fit.
-SPACED, BARE, PAIRS = 96 << 20, 16 << 20, 32 << 20
+#: Bytes of what a worker remembers of parts after a space and of parts at line starts, and how many pairs of pieces it knows to fit or not.
+SPACED, BARE, PAIRS = 112 << 20, 16 << 20, 400_000
 #: Parts that are decoded at once.
 BLOCK = 20_000
 
@@ -59,7 +59,10 @@ class PieceCodec:
         self.find.make_automaton()
         self.length = {i: len(p) for i, p in self.piece.items()}
         self.shorter = {i: next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for i, p in self.piece.items()}
-        self.fits = Memo(self._fits, PAIRS)
+        self.name = {i: str(i) for i in range(n)}
+        #: By piece, or None at the start, which pieces may follow it; for the pairs that were asked for.
+        self.after: dict[int | None, dict[int, bool]] = {}
+        self.pairs = 0
         self.spaced = Memo(lambda w: self._ids(" " + w), SPACED)
         self.bare = Memo(self._ids, BARE)
 
@@ -77,32 +80,45 @@ class PieceCodec:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def _fits(self, pair: int) -> bool:
-        """``pair``: the id of the piece, plus 2**32 times one more than that of the piece before, if any."""
-        last, piece = divmod(pair, 1 << 32)
-        parts = [self.piece[i] for i in ([last - 1, piece] if last else [piece])]
-        return self.merged("".join(parts)) == parts
+    def _fits(self, last: int | None, piece: int) -> bool:
+        """Whether merging the characters of both, or of the first piece alone, gives them back."""
+        parts = [self.piece[i] for i in ([piece] if last is None else [last, piece])]
+        if self.pairs >= PAIRS:
+            self.after.clear()
+            self.pairs = 0
+        self.pairs += 1
+        out = self.after.setdefault(last, {})[piece] = self.merged("".join(parts)) == parts
+        return out
 
     def _covered(self, chars: str) -> list[int]:
         """Ids of a run of characters that all have pieces."""
-        longest = [0] * len(chars)
+        n = len(chars)
+        longest: list[int | None] = [None] * (n + 1)
         for end, (i, size) in self.find.iter(chars):
             longest[end - size + 1] = i  # ends rise, so the last found for a start is the longest
-        fits, length, shorter, n = self.fits, self.length, self.shorter, len(chars)
+        after, length, shorter, none = self.after, self.length, self.shorter, {}
         out: list[int] = []
-        failed, at, piece = bytearray(n // 8 + 1), 0, longest[0]
+        failed: bytearray | None = None
+        at, piece, last = 0, longest[0], None
         while at < n:
-            last = out[-1] + 1 << 32 if out else 0
-            while piece is not None and (failed[at + length[piece] >> 3] >> (at + length[piece] & 7) & 1 or not fits[last + piece]):
+            known = after.get(last, none)
+            while piece is not None:
+                end = at + length[piece]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = known.get(piece)
+                    if fits or (fits is None and self._fits(last, piece)):
+                        break
                 piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
-                at += length[piece]
-                piece = longest[at] if at < n else None
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= length[piece]
+                at, last, piece = end, piece, longest[end]
+                continue
+            if failed is None:
+                failed = bytearray(n // 8 + 1)
+            failed[at >> 3] |= 1 << (at & 7)
+            piece = out.pop()
+            at -= length[piece]
+            last = out[-1] if out else None
         return out
 
     def _ids(self, chars: str) -> str:
@@ -110,7 +126,7 @@ class PieceCodec:
         out: list[int] = []
         chars = chars.replace(" ", SPACE)
         if chars and self.known.issuperset(chars):
-            return ",".join(map(str, self._covered(chars)))
+            return ",".join(map(self.name.__getitem__, self._covered(chars)))
         run = ""
         for c in chars:
             if c in self.id:
