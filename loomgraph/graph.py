@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 EDGE_SCHEMA = T.StructType(
     [T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("weight", T.LongType())]
 )
+#: Columns that a stored direction is partitioned by.
+MODES = {"out": ("src",), "in": ("dst",), "both": ("src", "dst")}
 VERTEX_SCHEMA = T.StructType([T.StructField("id", T.LongType())])
 
 
@@ -28,6 +31,7 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    _adjacency: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @staticmethod
     def of(edges: DataFrame, vertices: DataFrame | None = None) -> "Graph":
@@ -45,6 +49,29 @@ class Graph:
         """Vertices 0..n-1, isolated ones included."""
         return Graph.of(edges, spark.range(n))
 
+    def store(self, mode: str = "out") -> "Graph":
+        """Keeps the edges by source ("out"), by target ("in") or both, partitioned and sorted, in executors' memory and disk.
+
+        What runs on the graph from then on joins these without moving an edge. They are rebuilt from the source where an executor is lost.
+        """
+        for key in MODES[mode]:
+            if key not in self._adjacency:
+                self._adjacency[key] = partitioned(self.edges, key).persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def release(self, mode: str = "both") -> None:
+        """Gives up what ``store`` keeps."""
+        for key in MODES[mode]:
+            if kept := self._adjacency.pop(key, None):
+                kept.unpersist()
+
+    def by(self, key: str) -> DataFrame:
+        """The edges, stored by this key if they are, else as they are."""
+        return self._adjacency.get(key, self.edges)
+
+    def stores(self, mode: str) -> bool:
+        return all(key in self._adjacency for key in MODES[mode])
+
     def reverse(self) -> "Graph":
         return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
@@ -62,6 +89,20 @@ class Graph:
         return endpoints(self.edges).join(self.vertices, "id", "left_anti")
 
 
+def partitioned(df: DataFrame, key: str) -> DataFrame:
+    """By a column, in a number of partitions that stays as it is, and sorted in each. Joins on the column of two such frames need no shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     """Distinct ids that occur in an edge."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -54,6 +54,16 @@ def weak_components(graph: Graph) -> DataFrame:
     return graph.vertices.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def components_after_insert(graph: Graph, labels: DataFrame, batch: DataFrame) -> DataFrame:
+    """``weak_components`` of ``graph`` (which has the batch already) from the labels before: only the batch's edges, between old components, are contracted."""
+    old = labels.select("id", "label")
+    of = lambda c, name: old.select(F.col("id").alias(c), F.col("label").alias(name))
+    links = batch.select("src", "dst").join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left")
+    found = component_labels(links.select(F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")).distinct())
+    placed = graph.vertices.join(old, "id", "left").select("id", F.coalesce("label", "id").alias("old"))
+    return placed.join(found.select(F.col("id").alias("old"), "label"), "old", "left").select("id", F.coalesce("label", "old").alias("label"))
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     """label, n."""
     return labels.groupBy("label").agg(F.count("*").alias("n"))

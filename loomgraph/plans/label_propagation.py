@@ -29,4 +29,5 @@ def label_propagation(graph: Graph, rounds: int = 2, votes_from: str = "out") ->
         state = graph.vertices.join(best, "id", "left").select("id", F.when(F.col("id") == 0, F.lit(1)).otherwise(F.coalesce("label", F.lit(1))).cast("int").alias("label"))
         state = kept.keep(state)
     pairs.unpersist()
+    kept.release(state)
     return state

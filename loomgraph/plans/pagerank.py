@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
@@ -26,17 +26,30 @@ def shares(graph: Graph, by: str = "out") -> DataFrame:
 
 
 def _step(vertices: DataFrame, share: DataFrame, state: DataFrame) -> DataFrame:
-    got = share.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-    return vertices.join(got, "id", "left").select("id", ((1 - DAMPING) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
+    """The columns of ``vertices`` and the new rank."""
+    got = share.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    rank = (1 - DAMPING) + DAMPING * F.coalesce("got", F.lit(0.0))
+    return vertices.join(got, "id", "left").select(*vertices.columns, rank.alias("rank"))
 
 
-def pagerank(graph: Graph, iterations: int = 10, by: str = "out") -> DataFrame:
+def _stored(graph: Graph, by: str, degree: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Shares and vertices, kept by the key that they join on."""
+    vertices = graph.vertices.select("id")
+    if degree:
+        counted = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+        vertices = vertices.join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    return shares(graph, by).repartition("src").persist(), vertices.repartition("id").persist()
+
+
+def pagerank(graph: Graph, iterations: int = 10, by: str = "out", tol: float | None = None) -> DataFrame:
     """id, rank. Starts at 1; the mass of dangling vertices is dropped; isolated vertices end at 0.15.
 
-    Shares and vertices are cached by the key they join on, so an iteration shuffles partial sums only.
+    Shares and vertices are cached by the key they join on, so an iteration shuffles partial sums only. With ``tol`` it ends early, after the first iteration
+    whose delta (see ``pagerank_delta``) is at most that.
     """
-    share = shares(graph, by).repartition("src").persist()
-    vertices = graph.vertices.repartition("id").persist()
+    if tol is not None:
+        return _until(graph, iterations, by, tol)[0]
+    share, vertices = _stored(graph, by)
     state = vertices.withColumn("rank", F.lit(1.0))
     kept = Rounds()
     for i in range(1, iterations + 1):
@@ -44,23 +57,31 @@ def pagerank(graph: Graph, iterations: int = 10, by: str = "out") -> DataFrame:
         if i % UNROLL == 0 and i < iterations:
             state = kept.keep(state)
     out = kept.keep(state)
+    kept.release(out)
     share.unpersist()
     vertices.unpersist()
     return out
 
 
-def pagerank_delta(graph: Graph, iterations: int = 10) -> DataFrame:
-    """iter, delta: the mean over vertices of abs(new - old) * out-degree at each iteration, reported and never used to stop."""
-    share = shares(graph).repartition("src").persist()
-    degree = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    vertices = graph.vertices.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree")).repartition("id").persist()
-    state, kept, rows = vertices.select("id", F.lit(1.0).alias("rank")), Rounds(), []
+def _until(graph: Graph, iterations: int, by: str, tol: float | None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """id and rank, and the delta of each iteration, which the job that writes its table sums up."""
+    share, vertices = _stored(graph, by, degree=True)
+    kept, rows = Rounds(), []
+    state = kept.keep(vertices.withColumn("rank", F.lit(1.0)))
     for i in range(1, iterations + 1):
-        new = kept.keep(_step(vertices.select("id"), share, state))
-        change = new.join(state.withColumnRenamed("rank", "old"), "id").join(vertices, "id")
-        total = change.agg(F.sum(F.abs(F.col("rank") - F.col("old")) * F.col("degree")).alias("s"), F.count("*").alias("v")).first()
-        rows.append((i, float(total.s or 0) / max(1, total.v)))
-        state = new
+        new = _step(vertices, share, state).join(state.select("id", F.col("rank").alias("old")), "id")
+        seen = Observation()
+        change = F.sum(F.abs(F.col("rank") - F.col("old")) * F.col("degree"))
+        state = kept.keep(new.observe(seen, change.alias("s"), F.count("*").alias("v")).drop("old"))
+        rows.append((i, float(seen.get["s"] or 0) / max(1, seen.get["v"])))
+        if tol is not None and rows[-1][1] <= tol:
+            break
+    kept.release(state)
     for x in (share, vertices):
         x.unpersist()
-    return graph.vertices.sparkSession.createDataFrame(rows, "iter int, delta double")
+    return state.select("id", "rank"), rows
+
+
+def pagerank_delta(graph: Graph, iterations: int = 10) -> DataFrame:
+    """iter, delta: the mean over vertices of abs(new - old) * out-degree at each iteration."""
+    return graph.vertices.sparkSession.createDataFrame(_until(graph, iterations, "out", None)[1], "iter int, delta double")

@@ -74,6 +74,26 @@ def discard(*tables: DataFrame | None) -> None:
             remove(df.sparkSession, path)
 
 
+def checkpointed(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """The same rows behind a checkpoint in the shared folder, partitioned and sorted as they were, and how many satisfy the condition.
+
+    A checkpoint tells its partitioning only if its own job is planned without adaptive execution, so that is off for this job.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    seen = Observation()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = df.observe(seen, F.count_if(F.lit(True) if condition is None else condition).alias("n")).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    out.scratch_path = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    return out, int(seen.get["n"])
+
+
 class Rounds:
     """State of an iterative job: each round's table is written to the shared folder and read again.
 
