@@ -21,10 +21,14 @@ def neighbors(graph: Graph, vertex: int, direction: str = "out") -> DataFrame:
     return graph.edges.where(F.col(here) == vertex).select(F.col(there).alias("neighbor"))
 
 
-def neighbor_lists(graph: Graph, direction: str = "out") -> DataFrame:
-    """id, neighbors: sorted arrays, for vertices that have any. A hub's list is one row, so prefer joins at scale."""
+def neighbor_lists(graph: Graph, direction: str = "out", most: int = 100_000) -> DataFrame:
+    """id, part, neighbors: sorted arrays, for vertices that have any. A list that is longer than ``most`` is in several rows, by a hash of the neighbour, so that no
+    row holds a whole hub; ``most`` bounds them up to the chance of hashes and to repeated neighbours."""
     here, there = ("src", "dst") if direction == "out" else ("dst", "src")
-    return graph.edges.groupBy(F.col(here).alias("id")).agg(F.sort_array(F.collect_list(there)).alias("neighbors"))
+    e = graph.edges.select(F.col(here).alias("id"), F.col(there).alias("near"))
+    large = e.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("id", F.ceil(F.col("n") / most).alias("parts"))
+    e = e.join(large, "id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("near"), F.col("parts")), F.lit(0)).cast("int"))
+    return e.groupBy("id", "part").agg(F.sort_array(F.collect_list("near")).alias("neighbors"))
 
 
 def edges_exist(graph: Graph, queries: DataFrame) -> DataFrame:
@@ -45,6 +49,16 @@ def k_hop(graph: Graph, sources: DataFrame, k: int, distinct: bool = False) -> D
 
 def active_edges(graph: Graph, frontier: DataFrame) -> DataFrame:
     """One row: active_edges (sum of the frontier's out-degrees) and sparse (fewer than a twentieth of all edges)."""
-    active = graph.edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").agg(F.count("*").alias("active_edges"))
-    total = graph.edges.agg(F.count("*").alias("e"))
-    return active.join(F.broadcast(total)).select("active_edges", (F.col("active_edges") * 20 < F.col("e")).alias("sparse"))
+    marked = graph.edges.join(frontier.select(F.col("id").alias("src")).distinct().withColumn("on", F.lit(True)), "src", "left")
+    active = F.count_if("on")
+    return marked.agg(active.alias("active_edges"), (active * 20 < F.count("*")).alias("sparse"))
+
+
+def common_neighbors(graph: Graph, pairs: DataFrame, direction: str = "out") -> DataFrame:
+    """a, b, common per distinct row of ``pairs(a, b)``: how many vertices are next to both; 0 included."""
+    here, there = ("src", "dst") if direction == "out" else ("dst", "src")
+    near = graph.edges.select(F.col(here).alias("id"), F.col(there).alias("near")).distinct()
+    asked = pairs.select("a", "b").distinct()
+    of = lambda c: near.withColumnRenamed("id", c)
+    found = asked.join(of("a"), "a").join(of("b"), ["b", "near"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    return asked.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0).cast("long")).alias("common"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import log2_up
 from loomgraph.graph import EDGE_SCHEMA, Graph, endpoints
+from loomgraph.operators.numbering import numbered
+from loomgraph.runtime import written
+from loomgraph.sources.rmat import rmat_edges
 
 
 def insert_edges(graph: Graph, batch: DataFrame) -> Graph:
@@ -24,9 +30,33 @@ def insert_edge(graph: Graph, src: int, dst: int, weight: int = 0) -> Graph:
 
 def split_edges(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n edges in (src, dst, weight) order, and the rest; together they are the edges as a bag."""
-    numbered = edges.sort("src", "dst", "weight").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    numbered = edges.sparkSession.createDataFrame(numbered, "src long, dst long, weight long, place long")
-    return numbered.where(F.col("place") < n).drop("place"), numbered.where(F.col("place") >= n).drop("place")
+    rows = numbered(edges.select("src", "dst", "weight"), ["src", "dst", "weight"], "place")
+    return rows.where(F.col("place") < n).drop("place"), rows.where(F.col("place") >= n).drop("place")
+
+
+def unit_weights(edges: DataFrame) -> DataFrame:
+    """The edges, all with weight 1."""
+    return edges.select("src", "dst", F.lit(1).cast("long").alias("weight"))
+
+
+def insert_trials(graph: Graph, batch_size: int, trials: int = 20, seed: int = 0) -> tuple[Graph, DataFrame]:
+    """The graph after ``trials`` batches of recursive-matrix edges, and per batch trial, edges (of the graph so far), seconds, edges_per_second.
+
+    Batches accumulate in a table of one folder each, so a batch costs what it has. Ids are below the least power of 2 that all vertices are below.
+    """
+    spark = graph.edges.sparkSession
+    n = 1 << log2_up(int(graph.vertices.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1)
+    grown, total, rows = graph, graph.edges.count(), []
+    for trial in range(trials):
+        began = time.perf_counter()
+        batch = rmat_edges(spark, batch_size, n, seed + trial).sort("src", "dst")
+        batch = written(batch.withColumn("weight", F.lit(0).cast("long")), "batch")
+        took = time.perf_counter() - began
+        total += batch_size
+        grown = Graph(grown.vertices, grown.edges.unionByName(batch))
+        rows.append((trial, total, took, batch_size / took))
+    vertices = grown.vertices.union(spark.range(n)).distinct() if trials else grown.vertices
+    return Graph(vertices, grown.edges), spark.createDataFrame(rows, "trial int, edges long, seconds double, edges_per_second double")
 
 
 def delete_edges(graph: Graph, batch: DataFrame) -> Graph:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import derived_weight
+from loomgraph.operators.numbering import placed
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -27,24 +28,26 @@ def read_unweighted(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, start: int, end: int, seed: int = 0) -> DataFrame:
-    """The edges on lines [start, end), counted from 0 without comments; one file, in file order.
+    """The edges on lines [start, end), counted from 0 without comments, in the order of files and lines.
 
-    The line number comes from a range sort on (file, position of the row in its partition), counted per
-    partition, so no single task gets all lines.
+    Lines are counted per split of a file, and a line's number is its place in its split after the lines of the splits before, so no single task gets all lines.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, line long")
-    cut = numbered.where((F.col("line") >= start) & (F.col("line") < end))
+    cut = _placed_lines(spark, path).where((F.col("line") >= start) & (F.col("line") < end))
     return _fields(cut).withColumn("weight", derived_weight(F.col("src"), F.col("dst"), seed))
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line of the lines that are no comments. The position in a split is that of the row in its task, which reads it from its start on."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return placed(lines.where(~F.col("value").startswith("#")), ["file", "block"], [F.col("row")], "line")
+
+
 def read_headed_pairs(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """A file with a header line and a line ``token E maxSrc maxDst`` before its pairs: (those figures, src and dst)."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
-    head = [x.value for x in lines.limit(2).collect()]
-    figures = dict(zip(("edges", "max_src", "max_dst"), (int(x) for x in head[1].split()[1:4]), strict=False))
-    pairs = lines.where(~F.col("value").isin(head)) if head else lines
-    return figures, _fields(pairs).select("src", "dst")
+    lines = _placed_lines(spark, path)
+    head = [r.value for r in lines.where("line < 2").orderBy("line").collect()]
+    figures = dict(zip(("edges", "max_src", "max_dst"), (int(x) for x in head[1].split()[1:4]), strict=False)) if len(head) > 1 else {}
+    return figures, _fields(lines.where("line >= 2")).select("src", "dst")
 
 
 def write_text(edges: DataFrame, path: str) -> None:
@@ -52,6 +55,11 @@ def write_text(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", "src", "dst", "weight").alias("value")).write.text(path)
 
 
+def first_edges(edges: DataFrame, n: int = 40) -> list[tuple[int, int, int]]:
+    """Some ``n`` edges, to look at."""
+    return [tuple(r) for r in edges.select("src", "dst", "weight").limit(n).collect()]
+
+
 def preview(path_lines: DataFrame, n: int = 5) -> dict:
     """The first lines, the last lines and the count of a one-column frame of lines."""
     return {
