@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. Verdicts are by row, whether its id is null or repeated.
+
+Null and empty texts, and texts without letters, are in no language and go in the first stage; later stages would keep them, each by itself. Of a group of near-duplicates the row of the
+least id stays, and of equal ids the one that comes first in the stage's table. An empty table passes all stages; without labels no text is toxic, and without a benchmark none is contaminated.
+Texts of any length pass whole. Further columns, of any names, stay.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import catalogue, decontamination, lang_id, near_dedup, piece_codec, toxicity
 from loomgraph.llm.common import fresh
-from loomgraph.runtime import written
+from loomgraph.runtime import discard, written
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -84,5 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each leaves is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
