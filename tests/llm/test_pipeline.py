@@ -67,3 +67,54 @@ def test_verdicts_are_by_row(spark, tmp_path):
     table = spark.createDataFrame([(1, passage), (1, clean["a"]), (None, passage), (None, clean["b"])], "doc_id long, text string")
     kept = corpus_pipeline.drop_contaminated(spark, table, str(tmp_path))
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, clean["a"]), (None, clean["b"])]))
+
+
+def test_run_matches_brute_force(spark, stages):
+    """The models' answers text by text, all pairs of shingle sets, all windows, and the library's own codec."""
+    import hashlib
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+
+    from loomgraph.llm import lang_id
+    from tests.llm.test_operators import brute_components, brute_hits
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    languages = catalogue.language_model(docs)
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    answers = languages.answers([t for _, t in rows], lang_id.WordRows(languages))
+    rows = [r for r, a in zip(rows, answers, strict=True) if a[2]]
+    toxic = catalogue.toxicity_model(stages[1], spark.read.parquet(f"{SMALL}/labels.parquet"))
+    hits = toxic.hits()
+    rows = [r for r in rows if 1 - math.prod(1 - p for _, p in toxic.sentences(r[1], hits)) < 0.5]
+    rows = [r for r, c in zip(rows, brute_components([t for _, t in rows]), strict=True) if c[3]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = [r for r, c in zip(rows, brute_hits([t for _, t in rows], items), strict=True) if not c[5]]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(catalogue.TOKENIZER))
+    want = []
+    for i, t in rows:
+        ids = library.encode(t)
+        h = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
+        want.append((i, len(ids), *h))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(want)
+    assert 0 < len(want) < docs.count()
+
+
+def test_empty_tables_and_null_texts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, kind in (("labels", "doc_id long, quality long, toxic long"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.isEmpty()
+        none = docs.limit(0)
+    odd = docs.limit(60).unionByName(docs.limit(3).selectExpr("doc_id + 1000 AS doc_id", "cast(null AS string) AS text", "lang", "source", "n_chars"))
+    odd = odd.unionByName(docs.limit(3).selectExpr("doc_id + 2000 AS doc_id", "'' AS text", "cast(null AS string) AS lang", "source", "n_chars"))
+    left = corpus_pipeline.identify_language(spark, odd, str(tmp_path))
+    assert left.where("doc_id >= 1000").isEmpty()
+    assert corpus_pipeline.drop_toxic(spark, odd, str(tmp_path)).count() == 66
+    assert corpus_pipeline.drop_contaminated(spark, odd, str(tmp_path)).count() == 66
+    assert corpus_pipeline.drop_near_duplicates(spark, odd, str(tmp_path)).where("doc_id >= 1000").count() == 6
+    assert corpus_pipeline.encode_pieces(spark, odd, str(tmp_path)).where("n_tokens = 0").count() == 6
