@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable
 from contextlib import suppress
+from itertools import islice
 from sys import getsizeof
 from typing import Any
 
@@ -36,47 +37,44 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Memo:
-    """A function's results, kept in two generations of ``limit`` / 2 bytes at most.
+    """A function's results, in ``limit`` bytes at most.
 
-    Once the young generation is full, the old one is forgotten; what is used again moves back, so
-    frequent keys stay and memory stays bounded, however long the keys are. What would fill a large part of a generation alone is
-    computed anew each time. The function must not return None.
+    Once it is full, an eighth of it goes, what came first before the rest; what is still used comes back by one more computation. So
+    memory stays bounded, however long the keys are. What would fill a large part alone is computed anew each time. The function must not return None.
     """
 
-    #: Bytes of an entry's place in its table, and the part of a generation that one entry may have.
-    PLACE, PART = 100, 64
+    #: Bytes of an entry's place in the table, and the part of all that one entry may have.
+    PLACE, PART = 100, 128
 
     def __init__(self, compute: Callable[[Any], Any], limit: int = 64 << 20):
-        self.compute, self.half = compute, limit // 2
-        self.room = self.half
-        self.young: dict = {}
-        self.old: dict = {}
+        self.compute, self.limit = compute, limit
+        self.room = limit
+        self.known: dict = {}
 
     def __getitem__(self, key: Any) -> Any:
-        value = self.young.get(key)
+        value = self.known.get(key)
         return self.missed(key) if value is None else value
 
     def missed(self, key: Any) -> Any:
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
+        value = self.compute(key)
         size = self.PLACE + getsizeof(key) + getsizeof(value)
-        if size * self.PART <= self.half:
+        if size * self.PART <= self.limit:
             if size > self.room:
-                self.old, self.young, self.room = self.young, {}, self.half
+                for k in list(islice(self.known, len(self.known) // 8 + 1)):
+                    self.room += self.PLACE + getsizeof(k) + getsizeof(self.known.pop(k))
             self.room -= size
-            self.young[key] = value
+            self.known[key] = value
         return value
 
     def many(self, keys: list) -> list:
         """The results of all keys, in their order."""
-        out = list(map(self.young.get, keys))
+        out = list(map(self.known.get, keys))
         if None in out:
             at = -1
             with suppress(ValueError):  # there is no further None
                 while True:
                     at = out.index(None, at + 1)
-                    out[at] = self[keys[at]]
+                    out[at] = self[keys[at]]  # a key may come twice
         return out
 
 
@@ -109,8 +107,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows that go to Python at once, at most. Spark's own number, 10,000, is for narrow rows; here they are texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
-    """Just these columns under the keys' names; a column that has a dot or quote in its name is found too."""
+    """Just these columns under the keys' names; a column that has a dot or quote in its name is found too.
+
+    Where operators on texts begin, so it also sets the session's number of rows in a batch, unless that is lower already.
+    """
+    if not 0 < int(df.sparkSession.conf.get(_BATCH)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     quoted: Iterable[Column] = (F.col(f"`{c.replace('`', '``')}`").alias(k) for k, c in columns.items())
     return df.select(*quoted)
 

@@ -95,7 +95,7 @@ class LanguageModel:
 class WordRows:
     """Per word the sum of its buckets' table rows and their number; forgotten all at once when full."""
 
-    def __init__(self, model: LanguageModel, limit: int = 400_000):
+    def __init__(self, model: LanguageModel, limit: int = 200_000):
         self.model, self.at = model, {}
         self.sums = np.zeros((limit, model.table.shape[1] + 1), dtype="float32")
 

@@ -24,7 +24,7 @@ from loomgraph.llm.common import Memo, held, named
 
 SPACE = "▁"
 #: Bytes of what a worker remembers of parts after a space and of parts at line starts, and how many pairs of pieces it knows to fit or not.
-SPACED, BARE, PAIRS = 112 << 20, 16 << 20, 400_000
+SPACED, BARE, PAIRS = 64 << 20, 8 << 20, 400_000
 #: Parts that are decoded at once.
 BLOCK = 20_000
 

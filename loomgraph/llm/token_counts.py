@@ -24,7 +24,7 @@ from loomgraph.runtime import scratch, written
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 #: Bytes of the words' counts that a worker remembers.
-MEMO = 128 << 20
+MEMO = 64 << 20
 #: Missing digests that are sent to all executors at most, 32 bytes each.
 FEW = 200_000
 

@@ -55,7 +55,7 @@ class ToxicityModel:
 
     def hits(self) -> Memo:
         """Word to the features with a weight; a tuple, empty for most words."""
-        return Memo(lambda w: tuple(f for f in features(w) if f in self.weights), 48 << 20)
+        return Memo(lambda w: tuple(f for f in features(w) if f in self.weights), 24 << 20)
 
     def sentences(self, text: str | None, hits: Memo) -> list[tuple[str, float]]:
         """The sentences that have a word, and their scores; 0 for those without a known feature."""
