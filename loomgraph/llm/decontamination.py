@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import GOLDEN, LOWER_ALNUM, mix, named
-from loomgraph.runtime import written
+from loomgraph.runtime import discard, written
 
 WINDOW, SHINGLE = 13, 5
 #: Bits of the filter: at least, at most (32 MiB), and for each shingle.
@@ -216,7 +216,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     verdicts = _spans(hits).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "n_hit", "ranges")
     same_row = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     verdicts = verdicts.join(named_items, same_row, "left").select("_id", "_key", "n_hit", "ranges", "items")
-    out = base.select("id", "key", "n_words").join(written(verdicts, "verdicts"), same_row, "left")
+    verdicts = written(verdicts, "verdicts")
+    discard(made, each, prefix, hits)
+    out = base.select("id", "key", "n_words").join(verdicts, same_row, "left")
     none = F.expr("cast(array() as array<string>)")
     return out.select(
         "id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
