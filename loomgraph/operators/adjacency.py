@@ -37,6 +37,11 @@ def edges_exist(graph: Graph, queries: DataFrame) -> DataFrame:
     return queries.select("src", "dst").join(there, ["src", "dst"], "left").select("src", "dst", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def random_sources(graph: Graph, one_in: int = 20, seed: int = 0) -> DataFrame:
+    """id of about one vertex in ``one_in``, by a hash of id and seed, so reruns agree."""
+    return graph.vertices.where(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(one_in)) == 0).select("id")
+
+
 def k_hop(graph: Graph, sources: DataFrame, k: int, distinct: bool = False) -> DataFrame:
     """vertex: ends of the k-step walks from ``sources(id)``. A bag unless ``distinct``, which dedupes each step."""
     walk = sources.select(F.col("id").alias("vertex"))

@@ -11,6 +11,7 @@ from loomgraph.functions import log2_up
 from loomgraph.graph import EDGE_SCHEMA, Graph, endpoints
 from loomgraph.operators.numbering import numbered
 from loomgraph.runtime import written
+from loomgraph.sources.edge_text import read_lines
 from loomgraph.sources.rmat import rmat_edges
 
 
@@ -28,6 +29,11 @@ def insert_edge(graph: Graph, src: int, dst: int, weight: int = 0) -> Graph:
     return insert_edges(graph, graph.edges.sparkSession.createDataFrame([(src, dst, weight)], EDGE_SCHEMA))
 
 
+def insert_lines(graph: Graph, path: str, start: int, end: int) -> Graph:
+    """The graph with the edges on lines [start, end) of a text file added, see ``read_lines``; their weight is 0."""
+    return insert_edges(graph, read_lines(graph.edges.sparkSession, path, start, end).select("src", "dst"))
+
+
 def split_edges(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n edges in (src, dst, weight) order, and the rest; together they are the edges as a bag."""
     rows = numbered(edges.select("src", "dst", "weight"), ["src", "dst", "weight"], "place")

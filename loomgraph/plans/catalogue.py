@@ -117,6 +117,13 @@ def _inserted_trials(s: SparkSession, d: str) -> DataFrame:
     return g.edges
 
 
+def _inserted_lines(s: SparkSession, d: str) -> DataFrame:
+    """A hundred lines of a sorted text of the edges, inserted once more."""
+    path, g = scratch(s, "edges-text"), derive.sparse(s, d)
+    edge_text.write_text(g.edges.sort("src", "dst", "weight").coalesce(1), path)
+    return updates.insert_lines(g, path, SPLIT, 2 * SPLIT).edges.select("src", "dst")
+
+
 def _text_trip(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "edges-text")
     edge_text.write_text(derive.sparse(s, d).edges, path)
@@ -208,6 +215,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k_hop_2_many": _many_hops,
         "split_edges": _split,
         "delete_edges": _deleted,
+        "insert_lines": _inserted_lines,
+        "k_hop_2_random": lambda s, d: adjacency.k_hop(co(s, d), adjacency.random_sources(co(s, d)), 2),
+        "aggregate_messages_sub": lambda s, d: messages.aggregate_messages(co(s, d), _ids(co(s, d)), F.col("weight"), lambda m: F.negative(F.sum(m))),
         "insert_trials": _trials,
         "insert_trials_edges": _inserted_trials,
         "pagerank_tol": lambda s, d: _ranked(pagerank.pagerank(co(s, d), 30, tol=TOL)),
@@ -397,6 +407,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "delete_edges": _with("SELECT src, dst, weight FROM co WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.src = co.src AND sp.dst = co.dst)"),
         "insert_trials": _with("SELECT k::INTEGER AS trial, (SELECT count(*) FROM sp) + 500 * (k + 1) AS edges FROM range(3) r(k)"),
+        "insert_lines": _with(
+            "p AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst, weight) - 1 AS k FROM sp)",
+            f"SELECT src, dst FROM sp UNION ALL SELECT src, dst FROM p WHERE k >= {SPLIT} AND k < {2 * SPLIT}",
+        ),
+        "aggregate_messages_sub": _with("SELECT dst AS id, -sum(weight)::BIGINT AS value FROM co GROUP BY 1"),
         "pagerank_tol": _pagerank_tol_sql(),
         "bfs_after_insert": _bfs_sql("gr", (_GROWN,)),
         "cc_weak_after_insert": _cc_sql("SELECT src, dst FROM gr UNION SELECT dst, src FROM gr", "SELECT id, x AS label FROM t", (_GROWN,)),

@@ -296,6 +296,53 @@ def test_vertex_sets_and_active_senders(spark, tiny):
     assert by_id(sparse, "v")[0] == 3 and by_id(sparse, "v")[1] == 1
 
 
+def test_order_of_edges_does_not_matter(spark, tiny):
+    """Unsorted lists, batches in any order, and tallies of several tasks: the same degrees, labels, triangles and distances."""
+    shuffled = Graph(tiny.vertices, tiny.edges.orderBy(F.xxhash64("dst", "src", "weight")).repartition(5))
+    for f in (adjacency.degrees, lambda g: label_propagation.label_propagation(g, 2), triangles.triangles_per_vertex, lambda g: frontier.sssp(g, 0), lambda g: frontier.bfs(g, 0)):
+        assert sorted(f(shuffled).collect(), key=str) == sorted(f(tiny).collect(), key=str)
+    batch = [(7, 1), (7, 0), (2, 7), (1, 7), (1, 0)]
+    one, two = (updates.insert_edges(tiny, spark.createDataFrame(b, "src long, dst long")) for b in (batch, batch[::-1]))
+    assert sorted(one.edges.collect()) == sorted(two.edges.collect())
+    assert by_id(adjacency.degrees(one), "degree") == [2, 3, 3, 2, 2, 1, 1, 2, 1]
+
+
+def test_vertices_without_edges_have_no_neighbours(spark, tiny):
+    assert adjacency.neighbors(tiny, 7).isEmpty() and adjacency.neighbors(tiny, 7, "in").isEmpty()
+    assert adjacency.neighbor_lists(tiny).where("id = 7").isEmpty()
+    got = messages.aggregate_messages(tiny, tiny.vertices.where("id = 7"), F.col("dst"), F.min)
+    assert got.isEmpty()
+
+
+def test_push_and_pull_agree(spark, tiny):
+    """Messages over stored edges, over plain ones, and of a frontier that names everyone are the same."""
+    state = tiny.vertices.withColumn("v", F.col("id") * 10)
+    want = sorted(messages.aggregate_messages(tiny, state, F.col("v"), F.sum).collect())
+    assert sorted(messages.aggregate_messages(tiny, state, F.col("v"), F.sum, active=tiny.vertices).collect()) == want
+    stored = Graph(tiny.vertices, tiny.edges).store("both")
+    assert sorted(messages.aggregate_messages(stored, state, F.col("v"), F.sum).collect()) == want
+    back = Graph(tiny.vertices, tiny.reverse().edges)
+    assert sorted(messages.aggregate_messages(back, state, F.col("v"), F.sum, to="src").collect()) == want
+    stored.release()
+
+
+def test_lines_are_inserted(spark, tiny, tmp_path):
+    (tmp_path / "e.txt").write_text("# c\n7 0\n7 1\n20 7\n")
+    grown = updates.insert_lines(tiny, str(tmp_path / "e.txt"), 1, 3)
+    assert sorted(map(tuple, grown.edges.exceptAll(tiny.edges).collect())) == [(7, 1, 0), (20, 7, 0)]
+    assert grown.vertices.where("id = 20").count() == 1
+
+
+def test_scalar_helpers(spark):
+    from loomgraph.functions import derived_weight, log2_up, uniform
+
+    assert [log2_up(n) for n in (1, 2, 3, 4, 5, 1024, 1025)] == [0, 1, 2, 2, 3, 10, 11]
+    u = spark.range(2000).select(uniform(F.col("id"), F.lit(1)).alias("u"), derived_weight(F.col("id"), F.lit(3)).alias("w")).agg(F.min("u"), F.max("u"), F.avg("u"), F.min("w"), F.max("w")).first()
+    assert 0 <= u[0] and u[1] < 1 and abs(u[2] - 0.5) < 0.03 and u[3] >= 1 and u[4] <= 10_000
+    some = adjacency.random_sources(Graph.dense(spark, 2000, spark.createDataFrame([], SCHEMA)))
+    assert 60 < some.count() < 140 and some.exceptAll(adjacency.random_sources(Graph.dense(spark, 2000, spark.createDataFrame([], SCHEMA)))).isEmpty()
+
+
 def test_common_neighbours(spark, tiny):
     pairs = spark.createDataFrame([(0, 2), (0, 1), (0, 2), (7, 7)], "a long, b long")
     assert sorted(map(tuple, adjacency.common_neighbors(tiny, pairs).collect())) == [(0, 1, 0), (0, 2, 1), (7, 7, 0)]
