@@ -24,7 +24,7 @@ from loomgraph.llm.common import Memo, held, named
 
 SPACE = "▁"
 #: Bytes of what a worker remembers of parts after a space and of parts at line starts, and how many pairs of pieces it knows to fit or not.
-SPACED, BARE, PAIRS = 64 << 20, 8 << 20, 400_000
+SPACED, BARE, PAIRS = 48 << 20, 8 << 20, 250_000
 #: Parts that are decoded at once.
 BLOCK = 20_000
 
@@ -57,9 +57,10 @@ class PieceCodec:
         for p, i in self.id.items():
             self.find.add_word(p, (i, len(p)))
         self.find.make_automaton()
-        self.length = {i: len(p) for i, p in self.piece.items()}
-        self.shorter = {i: next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for i, p in self.piece.items()}
-        self.name = {i: str(i) for i in range(n)}
+        # by id
+        self.length = [len(self.piece.get(i, "")) for i in range(n)]
+        self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p in (self.piece.get(i, "") for i in range(n))]
+        self.name = list(map(str, range(n)))
         #: By piece, or None at the start, which pieces may follow it; for the pairs that were asked for.
         self.after: dict[int | None, dict[int, bool]] = {}
         self.pairs = 0
