@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import fresh_name
-from loomgraph.runtime import written
+from loomgraph.runtime import discard, written
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -17,7 +17,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     part = fresh_name(df, "part")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges")
-    return written(placed(dealt, [part], [F.col(c) for c in order], name).drop(part), "numbered")
+    out = written(placed(dealt, [part], [F.col(c) for c in order], name).drop(part), "numbered")
+    discard(dealt)
+    return out
 
 
 def placed(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
